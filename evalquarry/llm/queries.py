@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from evalquarry.llm.sp_bpe import op7_sentencepiece
 from evalquarry.llm.sharding import op9_external_shuffle
 
 QUERIES = {
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_external_shuffle": op9_external_shuffle,
 }
 
