@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from evalquarry.llm.sp_bpe import op7_sentencepiece
+from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from evalquarry.llm.sharding import op9_external_shuffle
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_external_shuffle": op9_external_shuffle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
