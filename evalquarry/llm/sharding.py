@@ -20,6 +20,8 @@ SHARDS = 24
 SEED = 20_011
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 50_000
+#: Offsets of so many buckets (20 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def shuffle_buckets(records: DataFrame, path: str, *, size: Column, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -52,7 +54,8 @@ def assign_shards(shuffled: DataFrame, shards: int = SHARDS) -> DataFrame:
     w = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = counts.select("bucket", (F.sum("c").over(w) - F.col("c")).alias("offset"), F.sum("c").over(W.partitionBy()).alias("n"))
     at, q, r = F.expr("offset + pos"), F.expr(f"n div {shards}"), F.expr(f"n % {shards}")
-    placed = shuffled.join(offsets, "bucket").select("rec", at.alias("at"), q.alias("q"), r.alias("r"))
+    small = counts.count() <= BROADCAST_BUCKETS
+    placed = shuffled.join(F.broadcast(offsets) if small else offsets, "bucket").select("rec", at.alias("at"), q.alias("q"), r.alias("r"))
     long_run = "at < r * (q + 1)"
     return placed.select(
         F.expr(f"CAST(IF({long_run}, at div (q + 1), r + (at - r * (q + 1)) div greatest(q, 1)) AS INT)").alias("shard"),
