@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from evalquarry.llm.sp_bpe import op7_sentencepiece
 from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from evalquarry.llm.sharding import op9_external_shuffle
+from evalquarry.llm.sp_bpe import op7_sentencepiece
+from evalquarry.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op5_line_dedup": op5_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_external_shuffle": op9_external_shuffle,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
 }
