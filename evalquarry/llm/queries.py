@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from evalquarry.llm.bitsliced import OP8_SQL, op8_bitsliced_topk
 from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from evalquarry.llm.sharding import op9_external_shuffle
 from evalquarry.llm.sp_bpe import op7_sentencepiece
 from evalquarry.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op8_bitsliced_topk": op8_bitsliced_topk,
     "op3_warc": op3_warc,
     "op5_line_dedup": op5_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_bitsliced_topk": OP8_SQL,
     "op3_warc": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
 }
