@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evalquarry.llm.bagminhash import op6_bagminhash
 from evalquarry.llm.bitsliced import OP8_SQL, op8_bitsliced_topk
 from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from evalquarry.llm.sharding import op9_external_shuffle
@@ -9,6 +10,7 @@ from evalquarry.llm.sp_bpe import op7_sentencepiece
 from evalquarry.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op6_bagminhash": op6_bagminhash,
     "op8_bitsliced_topk": op8_bitsliced_topk,
     "op3_warc": op3_warc,
     "op5_line_dedup": op5_line_dedup,
