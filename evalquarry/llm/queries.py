@@ -7,9 +7,11 @@ from evalquarry.llm.bitsliced import OP8_SQL, op8_bitsliced_topk
 from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from evalquarry.llm.sharding import op9_external_shuffle
 from evalquarry.llm.sp_bpe import op7_sentencepiece
+from evalquarry.llm.suffix_dedup import op2_suffix_dedup
 from evalquarry.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op6_bagminhash": op6_bagminhash,
     "op8_bitsliced_topk": op8_bitsliced_topk,
     "op3_warc": op3_warc,
