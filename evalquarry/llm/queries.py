@@ -6,12 +6,14 @@ from evalquarry.llm.bagminhash import op6_bagminhash
 from evalquarry.llm.bitsliced import OP8_SQL, op8_bitsliced_topk
 from evalquarry.llm.langid import op4_byte_cnn
 from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
+from evalquarry.llm.pii import op10_pii
 from evalquarry.llm.sharding import op9_external_shuffle
 from evalquarry.llm.sp_bpe import op7_sentencepiece
 from evalquarry.llm.suffix_dedup import op2_suffix_dedup
 from evalquarry.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op10_pii": op10_pii,
     "op4_byte_cnn": op4_byte_cnn,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op6_bagminhash": op6_bagminhash,
