@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evalquarry.llm.bagminhash import op6_bagminhash
 from evalquarry.llm.bitsliced import OP8_SQL, op8_bitsliced_topk
+from evalquarry.llm.decontam import op1_template_decontam
 from evalquarry.llm.langid import op4_byte_cnn
 from evalquarry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from evalquarry.llm.pii import op10_pii
@@ -13,6 +14,7 @@ from evalquarry.llm.suffix_dedup import op2_suffix_dedup
 from evalquarry.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op1_template_decontam": op1_template_decontam,
     "op10_pii": op10_pii,
     "op4_byte_cnn": op4_byte_cnn,
     "op2_suffix_dedup": op2_suffix_dedup,
