@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalquarry.llm.common import materialise, table
 from evalquarry.llm.components import components
 from evalquarry.llm.line_dedup import mix
+from evalquarry.llm.suffix_dedup import prefix_hashes, substring_hash
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -31,10 +32,35 @@ BLOCK_MEMBERS = 96
 _U = np.uint64
 
 
-def word_hashes(text: Column) -> Column:
-    """array<long>: hashes of the lower-cased runs of letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and each text's offsets.
+
+    A word is a run of ASCII letters and digits and of characters beyond ASCII, lower-cased.
+    """
+    data = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+    word = np.concatenate([[False], _WORD[b], [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    sums = prefix_hashes(b, 1)[0]
+    begin = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
+    return substring_hash(sums, 0, start, end), np.searchsorted(start, begin)
+
+
+def portions(texts: list[str], most: int = 1 << 20):
+    """Slices of a batch of about ``most`` characters at least one text each."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t) > most:
+            yield at, k
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -187,20 +213,33 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", least: float = SIMIL
     ``least`` or more; in a bucket of several, one spanning set of them. Null texts have no node,
     texts without words no shingles and so no links.
     """
-    own = docs.select(docs[text].alias("t")).where(F.col("t").isNotNull()).select(F.unhex(F.md5("t")).alias("node"), word_hashes(F.col("t")).alias("words")).where(F.size("words") > 0)
+    own = docs.select(docs[text].alias("t")).where(F.col("t").isNotNull()).select(F.unhex(F.md5("t")).alias("node"), "t")
 
     def sign(batches):
-        for b in batches:
-            doc, sh = shingles(*flat(b, "words"))
-            keys = band_keys(signatures(*weighted(doc, sh), b.num_rows, bands * rows), bands)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["node", "keys"])
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            for lo, hi in portions(texts):
+                words, offsets = word_hashes(texts[lo:hi])
+                keys = band_keys(signatures(*weighted(*shingles(words, offsets)), hi - lo, bands * rows), bands)[np.diff(offsets) > 0]
+                nodes = batch.column("node").slice(lo, hi - lo).filter(pa.array(np.diff(offsets) > 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([nodes, lists], names=["node", "keys"])
+
+    def bag(batches):
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            for lo, hi in portions(texts):
+                words, offsets = word_hashes(texts[lo:hi])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), lists], names=["node", "words"])
 
     signed = own.mapInArrow(sign, "node binary, keys array<bigint>")
     member = materialise(signed.select("node", F.explode("keys").alias("key")).distinct(), "bands")
     bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).where("c > 1")
     live = materialise(member.join(bucket, "key"), "buckets")
     named = live.select("node").distinct()
-    bags = materialise(own.join(named, "node", "left_semi").dropDuplicates(["node"]), "bags")
+    texts = own.join(named, "node", "left_semi")
+    bags = materialise(texts.mapInArrow(bag, "node binary, words array<bigint>").dropDuplicates(["node"]), "bags")
     star = live.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
     links = materialise(verify(star, bags, least), "links")
     roots = components(links)

@@ -49,10 +49,10 @@ def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _POWERS
 
 
-def prefix_hashes(b: np.ndarray) -> list[np.ndarray]:
-    """For both bases: sums whose differences are the hashes of byte strings."""
+def prefix_hashes(b: np.ndarray, bases: int = 2) -> list[np.ndarray]:
+    """For each base: sums whose differences are the hashes of byte strings."""
     out = []
-    for t, (up, _) in zip(_TABLES, powers(len(b) + 1)):
+    for t, (up, _) in zip(_TABLES[:bases], powers(len(b) + 1)):
         s = np.zeros(len(b) + 1, _U)
         np.cumsum(t[b] * up[: len(b)], out=s[1:])
         out.append(s)
