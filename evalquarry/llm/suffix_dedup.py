@@ -184,7 +184,13 @@ def sort_bucket(bucket: pa.Table, length: int) -> pa.Table:
     base = np.concatenate([[0], np.cumsum([len(x) for x in bodies])])
     starts = np.concatenate([base[k] + np.asarray(ps, np.int64) for k, ps in enumerate(firsts)])
     owner = np.repeat(np.arange(len(bodies)), [len(ps) for ps in firsts])
-    repeat = [g for g in deep_shallow(b"".join(bodies), starts, length) if len(g) > 1]
+    data = b"".join(bodies)
+    # A suffix whose last 8 bytes no other ends with cannot repeat.
+    tails = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[starts + length - 8]
+    _, back, often = np.unique(tails, return_inverse=True, return_counts=True)
+    left = often[back] > 1
+    starts, owner = starts[left], owner[left]
+    repeat = [g for g in deep_shallow(data, starts, length) if len(g) > 1]
     hit = np.sort(np.concatenate([np.asarray(g) for g in repeat])) if repeat else np.empty(0, np.int64)
     out = {"doc": [], "th": [], "s": [], "e": []}
     once, doc, th, lo = (bucket.column(c).to_pylist() for c in ("once", "doc", "th", "lo"))
@@ -214,7 +220,7 @@ def repeated_starts(docs: DataFrame, *, length: int, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc.take(take), th.take(take), *(pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int32), t) for c, t in zip(cols, kinds))], names=["doc", "th", "lo", "hi", "f", "ca", "cb"])
 
     marked = rows.mapInArrow(mark, "doc long, th long, lo int, hi int, f long, ca long, cb long")
-    twice = marked.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
+    twice = materialise(marked.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"), "prints")
     live = materialise(marked.join(twice, "f"), "anchors")
     firsts = [F.first(c).alias(c) for c in ("doc", "th", "lo", "hi")]
     contexts = materialise(live.groupBy("f", "ca", "cb").agg(F.count(F.lit(1)).alias("n"), *firsts), "contexts")
