@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from evalquarry.plans import queries_generations, queries_runs, queries_text
+from evalquarry.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_generations", "queries_runs", "queries_text"]
