@@ -8,7 +8,8 @@ PROBLEM_CODE = PROBLEM + ", mode string, code string, input string, output strin
 GENERATION = "struct<response_id:bigint,generated_response:string,finish_reason:string,extracted_answer:string,correctness:boolean>"
 METADATA = "struct<num_responses:bigint,n_samples_requested:bigint,n_samples_variant_default:bigint,template_path:string,template_key:string,model_config_alias:string,prompt_hash:string>"
 STAT_NAME = "struct<name:string,split:string,sub_split:string,perturbation:struct<name:string,computed_on:string,robustness:boolean,fairness:boolean,prob:double>>"
-STAT = f"struct<name:{STAT_NAME},count:bigint,sum:double,sum_squared:double,min:double,max:double,mean:double,variance:double,stddev:double>"
+STAT_NUMBERS = "count bigint, sum double, sum_squared double, min double, max double, mean double, variance double, stddev double"
+STAT = f"struct<name:{STAT_NAME},{STAT_NUMBERS.replace(', ', ',').replace(' ', ':')}>"
 RUN_SPEC = "name string, scenario_spec struct<class_name:string,args:map<string,string>>, adapter_spec struct<method:string,model:string,model_deployment:string>"
 SCENARIO_STATE = "adapter_spec struct<method:string,model:string>, request_states array<struct<instance:struct<id:string,split:string,input:struct<text:string>,perturbation:struct<name:string>>,train_trial_index:bigint,request:struct<model:string,prompt:string>,result:struct<success:boolean,completions:array<struct<text:string,logprob:double>>>>>"
 PER_INSTANCE = f"instance_id string, train_trial_index bigint, perturbation struct<name:string>, stats array<{STAT}>"

@@ -20,6 +20,13 @@ def hadoop_list(spark: SparkSession, pattern: str) -> list[tuple[str, int, bool]
     return sorted((s.getPath().toString(), s.getLen(), s.isDirectory()) for s in found)
 
 
+def children(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
+    """(path, is folder) of what lies in a folder, sorted; unlike a glob it takes names with colons."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def dataset_files(spark: SparkSession, folder: str) -> list[str]:
     """SRC1: the parts of a folder, else completions, else dataset."""
     for pattern in ("dataset-*of*.jsonl", "completions.jsonl", "dataset.jsonl"):
@@ -37,8 +44,9 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, mode: s
 
 def rejected(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """Malformed lines per file, to warn about."""
-    raw = read_jsonl(spark, paths, schema, "flag").withColumn("file", F.input_file_name())
-    return raw.groupBy("file").agg(F.count(CORRUPT).alias("rejected"), F.count(F.lit(1)).alias("lines"))
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    raw = spark.read.text(paths).where(F.length(F.trim("value")) > 0).select(F.input_file_name().alias("file"), parsed.alias("r"))
+    return raw.groupBy("file").agg(F.count(F.col(f"r.{CORRUPT}")).alias("rejected"), F.count(F.lit(1)).alias("lines"))
 
 
 def completeness(spark: SparkSession, folder: str) -> tuple[bool, list[int]]:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from evalquarry import schemas
 from evalquarry.operators.tables import flatten, flatten_exploded
-from evalquarry.sources.records import hadoop_list
+from evalquarry.sources.records import children, hadoop_list
 
 REQUIRED = ("run_spec.json", "scenario_state.json", "stats.json")
-DOCUMENTS = {"run_spec": schemas.RUN_SPEC, "stats": schemas.STAT.removeprefix("struct<").removesuffix(">"), "per_instance_stats": schemas.PER_INSTANCE, "scenario_state": schemas.SCENARIO_STATE}
+DOCUMENTS = {"run_spec": schemas.RUN_SPEC, "stats": f"name {schemas.STAT_NAME}, " + schemas.STAT_NUMBERS, "per_instance_stats": schemas.PER_INSTANCE, "scenario_state": schemas.SCENARIO_STATE}
 
 
 def runs_root(spark: SparkSession, path: str) -> str:
@@ -32,9 +32,13 @@ def suites(spark: SparkSession, root: str, pattern: str = "*") -> list[str]:
 
 def run_paths(spark: SparkSession, root: str, suite: str = "*", pattern: str = "*", complete: bool = True) -> list[str]:
     """SRC14, SRC15, SRC35: run folders, whose names hold a colon; complete ones have all required documents."""
-    found = [p for p, _, d in hadoop_list(spark, f"{root}/{suite}/*") if d and ":" in (n := p.rsplit("/", 1)[1]) and fnmatch.fnmatchcase(n, pattern) and "/latest/" not in p]
-    have = {p for doc in REQUIRED for p, _, _ in hadoop_list(spark, f"{root}/{suite}/*/{doc}")} if complete else set()
-    return [p for p in found if not complete or all(f"{p}/{doc}" in have for doc in REQUIRED)]
+    found = []
+    for name in suites(spark, root, suite):
+        for p, is_folder in children(spark, f"{root}/{name}"):
+            if is_folder and ":" in (n := p.rsplit("/", 1)[1]) and fnmatch.fnmatchcase(n, pattern):
+                if not complete or set(REQUIRED) <= {c.rsplit("/", 1)[1] for c, _ in children(spark, p)}:
+                    found.append(p)
+    return found
 
 
 def run_spec_names(spark: SparkSession, root: str, suite: str) -> list[str]:
