@@ -131,7 +131,9 @@ def dropped_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     once = once.observe(seen, F.count(F.lit(1)).alias("n"))
     counted = once.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= MIN_DOCS)
     counted = materialise(counted, "lines")
-    shards = max(1, -(-counted.count() // SHARD_KEYS))
+    if not (n := counted.count()):
+        return docs.sparkSession.createDataFrame([], "doc long, th long, drop array<int>")
+    shards = -(-n // SHARD_KEYS)
     salts = max(SALTS, -(-seen.get["n"] // (shards * SHARD_KEYS)))
     index = build_index(counted, shards)
     spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -1,0 +1,56 @@
+"""The registered queries of the subpackage: SQL where there is some, the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+from evalquarry.llm.queries import ORACLES, QUERIES
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, sf, name):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    rel = c.execute(ORACLES[name])
+    names = [d[0] for d in rel.description]
+    want = sorted((tuple(str(r[names.index(k)]) for k in cols) for r in rel.fetchall()))
+    assert sorted(tuple(str(r[k]) for k in cols) for r in df.collect()) == want
+
+
+def test_there_are_ten_and_each_row_has_its_document(spark, sf):
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for k in (4, 6, 7, 9):
+        name = next(q for q in QUERIES if q.startswith(f"op{k}_"))
+        assert QUERIES[name](spark, sf).select("doc_id").distinct().count() == n
+
+
+def test_pipeline(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from pyspark.sql import functions as F
+
+    from evalquarry.llm.common import materialise
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    extra = spark.createDataFrame([(9000, None, "en", None, None), (9001, "?!", "en", None, None), (9002, "", None, None, None)], docs.schema)
+    docs = docs.union(extra)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, sf), name)
+        seen[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+        if name != "encode":
+            assert docs.columns == columns
+    assert not seen["language_id"] & {9000, 9001, 9002}
+    assert docs.where(F.col("ids") == "").isEmpty()
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert not [1 for r in docs.select("text").collect() for b in bench if b in r.text]
+    assert docs.count() == docs.select("text").distinct().count()
+    empty = docs.select(columns).limit(0)
+    assert corpus_pipeline.near_dedup(spark, empty, sf).isEmpty()
