@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 WINDOW, MARGIN = 384, 24
 HIDDEN = 8
-GROUP = 768
+GROUP = 1536
 EXAMPLES, LENGTH, EPOCHS, BATCH, RATE, SEED = 1600, 96, 6, 32, 0.02, 10
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
 _chain = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer
@@ -155,30 +155,65 @@ class Tagger:
                 saved.append((t, z, before, last, squashed))
         return out, saved
 
+    def states(self, x: np.ndarray, which: int) -> np.ndarray:
+        """``direction`` for inference: (T, hidden, n), so that every gate is one block of memory."""
+        steps, n = x.shape
+        h = self.h
+        half = np.full((4 * h, 1), 0.5, np.float32)
+        half[3 * h :] = 1
+        gates, u = np.ascontiguousarray((self.w[which] + self.bias[which]).T) * half, np.ascontiguousarray(self.u[which].T) * half
+        out = np.empty((steps, h, n), np.float32)
+        cell, state = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+        z, more, one = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
+        sigmoids, keep, new, show, value = z[: 3 * h], z[h : 2 * h], z[:h], z[2 * h : 3 * h], z[3 * h :]
+        for t in range(steps) if which == 0 else range(steps - 1, -1, -1):
+            np.take(gates, x[t], axis=1, out=z, mode="clip")
+            np.matmul(u, state, out=more)
+            z += more
+            np.tanh(z, out=z)
+            sigmoids += 1
+            sigmoids *= 0.5
+            cell *= keep
+            np.multiply(new, value, out=one)
+            cell += one
+            np.tanh(cell, out=one)
+            state = out[t]
+            np.multiply(show, one, out=state)
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.direction(x, 0)[0], self.direction(x, 1)[0]
-        return a @ self.e[: self.h] + b @ self.e[self.h :] + self.eb
+        """(T, TAGS, n)."""
+        e = np.ascontiguousarray(self.e.T)
+        return e[:, : self.h] @ self.states(x, 0) + e[:, self.h :] @ self.states(x, 1) + self.eb[:, None]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Viterbi tags (T, n) of codes (T, n)."""
         em, tr = self.emissions(x), self.masked_trans()
-        steps, n = x.shape
-        score = em[0].copy()
-        stay = np.empty((steps, n, TAGS - 1), bool)
-        into = np.empty((steps, n), np.int8)
+        steps, _, n = em.shape
+        leave, stays, enter = tr[:, 0][:, None], np.diag(tr)[1:, None], tr[0, 1:][:, None]
+        scores = np.empty_like(em)
+        stay = np.empty((steps, TAGS - 1, n), bool)
+        left = np.empty((steps, n), bool)  # whether a span ends before this step, if this step is outside
+        scores[0] = em[0]
         for t in range(1, steps):
-            outside = score + tr[:, 0]
-            into[t] = outside.argmax(1)
-            on, new = score[:, 1:] + np.diag(tr)[1:], score[:, :1] + tr[0, 1:]
-            stay[t] = on >= new
-            score = np.concatenate([outside.max(1)[:, None], np.maximum(on, new)], 1) + em[t]
-        tag = np.empty((steps, n), np.int8)
-        tag[-1] = score.argmax(1)
-        rows = np.arange(n)
+            s, now = scores[t - 1], scores[t]
+            out = s + leave
+            ended = out[1:].max(axis=0)
+            np.greater(ended, out[0], out=left[t])
+            np.maximum(ended, out[0], out=now[0])
+            on, new = s[1:] + stays, s[0] + enter
+            np.greater_equal(on, new, out=stay[t])
+            np.maximum(on, new, out=now[1:])
+            now += em[t]
+        tag = np.zeros((steps, n), np.int8)
+        tag[-1] = scores[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
             now = tag[t]
-            kept = stay[t][rows, np.maximum(now - 1, 0)]
-            tag[t - 1] = np.where(now == 0, into[t], np.where(kept, now, 0))
+            if (inside := np.flatnonzero(now)).size:
+                k = now[inside]
+                tag[t - 1, inside] = np.where(stay[t][k - 1, inside], k, 0)
+            if (end := np.flatnonzero(left[t] & (now == 0))).size:
+                tag[t - 1, end] = (scores[t - 1][1:, end] + leave[1:]).argmax(0) + 1
         return tag
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:

@@ -390,7 +390,7 @@ def test_tagger_gradients():
     x, y = r.integers(1, pii.CLASSES, (6, 4)).astype(np.uint8), np.array([[0, 1, 2, 0]] * 3 + [[0, 1, 0, 4]] * 3)
 
     def loss():
-        em, tr = net.emissions(x).astype(np.float64), net.masked_trans().astype(np.float64)
+        em, tr = net.emissions(x).transpose(0, 2, 1).astype(np.float64), net.masked_trans().astype(np.float64)
         a, gold = em[0], em[0][np.arange(4), y[0]].copy()
         for t in range(1, 6):
             a = em[t] + pii.lse(a[:, :, None] + tr, 1)
