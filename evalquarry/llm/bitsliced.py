@@ -20,6 +20,7 @@ from evalquarry.llm.common import materialise, table
 
 BLOCK_ROWS = 32_768
 CHUNK_QUERIES = 256
+LANES = 64
 QUANT = 64
 EVERY = 20
 TOP = 20
@@ -149,8 +150,13 @@ def top_k(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
     queries = rows.where(F.col("id") % every == 0)
     chunks = max(1, -(-n // (every * CHUNK_QUERIES)))
     packed = queries.groupBy(F.pmod(F.xxhash64("rid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("rid", "id", "q")).alias("queries"))
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(2000, chunks * blocks), "chunk", "block")
-    units = pairs.join(index, "block")
+    # Few blocks are held by several lanes of chunks, so that there are units for LANES tasks.
+    lanes = min(chunks, max(1, -(-LANES // blocks)))
+    tasks = min(2000, 2 * blocks * lanes)
+    lane = F.pmod("chunk", F.lit(lanes)).cast("int")
+    pairs = packed.withColumn("lane", lane).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    copies = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    units = pairs.repartition(tasks, "block", "lane").join(copies.repartition(tasks, "block", "lane"), ["block", "lane"])
 
     def run(batches):
         held, block = None, None
