@@ -28,7 +28,7 @@ from evalquarry.llm.suffix_dedup import prefix_hashes, substring_hash
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-BLOCK_MEMBERS = 96
+BLOCK_MEMBERS = 512
 _U = np.uint64
 
 
@@ -133,8 +133,9 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
-def flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+def flat(batch: pa.RecordBatch | pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     a = batch.column(column)
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
     offsets = a.offsets.to_numpy().astype(np.int64)
     return a.flatten().to_numpy().view(_U), offsets - offsets[0]
 
@@ -166,20 +167,32 @@ def verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "x binary, y binary, similarity double")
 
 
-def block_links(key, table_: pa.Table, least: float) -> pa.Table:
-    """Links of different components between the two sides of one block pair, one per joined pair of components."""
-    nodes, comps = table_.column("node").to_pylist(), table_.column("root").to_pylist()
-    sides = table_.column("side").to_pylist()
-    bags = [np.asarray(w, np.int64).view(_U) for w in table_.column("words").to_pylist()]
-    doc, sh = shingles(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])]))
-    doc, sh, wt = weighted(doc, sh)
-    size = np.bincount(doc, weights=wt, minlength=len(nodes))
-    ends = np.searchsorted(doc, np.arange(len(nodes) + 1))
-    _, ids = np.unique(sh, return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    post = np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """(docs, registers) 16 bits of each register, for estimates."""
+    return mix(np.ascontiguousarray(sig).view(_U), 8).astype(np.uint16)
+
+
+def block_links(key, block: pa.Table, least: float) -> pa.Table:
+    """Links of different components between the two sides of one block pair, one per joined pair of components.
+
+    Only pairs whose sketches agree within six deviations of ``least`` are compared exactly: of a
+    pair that similar, one in a billion is missed.
+    """
+    block = block.combine_chunks()
+    nodes, comps = block.column("node").to_pylist(), block.column("root").to_pylist()
+    side = np.array(block.column("side").to_pylist())
+    marks = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
+    registers = marks.shape[1]
+    need = registers * (least - 6 * np.sqrt(least * (1 - least) / registers))
+    words, ends = flat(block, "words")
+    bags: dict[int, np.ndarray] = {}
     parent = {c: c for c in comps}
 
+    def bag(d):
+        if d not in bags:
+            bags[d] = shingles(words[ends[d] : ends[d + 1]], np.array([0, ends[d + 1] - ends[d]]))[1]
+        return bags[d]
+
     def find(c):
         while parent[c] != c:
             parent[c] = parent[parent[c]]
@@ -188,21 +201,16 @@ def block_links(key, table_: pa.Table, least: float) -> pa.Table:
 
     out = {"x": [], "y": [], "similarity": []}
     same = key[1] == key[2]
-    for d in range(len(nodes)):
-        mine = slice(ends[d], ends[d + 1])
-        spans = [order[post[i] : post[i + 1]] for i in ids[mine]]
-        if not spans:
-            continue
-        w = np.repeat(wt[mine], [len(s) for s in spans])
-        at = np.concatenate(spans)
-        common = np.bincount(doc[at], weights=np.minimum(w, wt[at]), minlength=len(nodes))
-        near = np.flatnonzero(common >= least * (size + size[d] - common))
-        for e in near:
-            if e > d and (same or sides[e] != sides[d]) and (a := find(comps[d])) != (b := find(comps[e])):
+    for d in range(len(nodes) - 1):
+        close = (marks[d + 1 :] == marks[d]).sum(axis=1) >= need
+        if not same:
+            close &= side[d + 1 :] != side[d]
+        for e in (d + 1 + np.flatnonzero(close)).tolist():
+            a, b = find(comps[d]), find(comps[e])
+            if a != b and (s := overlap(bag(d), bag(e))) >= least:
                 parent[a] = b
-                out["x"].append(nodes[d])
-                out["y"].append(nodes[e])
-                out["similarity"].append(float(common[e] / (size[d] + size[e] - common[e])))
+                for name, v in zip(out, (nodes[d], nodes[e], s)):
+                    out[name].append(v)
     return pa.table(out, schema=pa.schema([("x", pa.binary()), ("y", pa.binary()), ("similarity", pa.float64())]))
 
 
@@ -231,15 +239,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", least: float = SIMIL
             for lo, hi in portions(texts):
                 words, offsets = word_hashes(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), lists], names=["node", "words"])
+                marks = sketch(signatures(*weighted(*shingles(words, offsets)), hi - lo, bands * rows))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), lists, pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "words", "sketch"])
 
     signed = own.mapInArrow(sign, "node binary, keys array<bigint>")
     member = materialise(signed.select("node", F.explode("keys").alias("key")).distinct(), "bands")
-    bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).where("c > 1")
+    bucket = materialise(member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).where("c > 1"), "leaders")
     live = materialise(member.join(bucket, "key"), "buckets")
     named = live.select("node").distinct()
     texts = own.join(named, "node", "left_semi")
-    bags = materialise(texts.mapInArrow(bag, "node binary, words array<bigint>").dropDuplicates(["node"]), "bags")
+    bags = materialise(texts.mapInArrow(bag, "node binary, words array<bigint>, sketch binary").dropDuplicates(["node"]), "bags")
     star = live.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
     links = materialise(verify(star, bags, least), "links")
     roots = components(links)
@@ -270,7 +279,7 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: f
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id].alias("id_"), F.unhex(F.md5(docs[text])).alias("node"))
     own = rows.where("node IS NULL").select("doc", F.col("id_").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     rooted = rows.where("node IS NOT NULL").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = rooted.groupBy("root").agg(F.min("id_").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    least_id = materialise(rooted.groupBy("root").agg(F.min("id_").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     return rooted.join(least_id, "root").select("doc", "class_id", "class_size").union(own)
 
 
