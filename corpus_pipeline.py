@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, roots = near_duplicates(docs)
     node = docs.withColumn("node", F.unhex(F.md5("text")))
     rooted = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("node").alias("at"))).alias("first"))
+    first = materialise(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("node").alias("at"))).alias("first")), "first")
     held = rooted.join(first, "root", "left").where("root IS NULL OR (doc_id <=> first.doc_id AND node = first.at)")
     kept = held.where("root IS NULL").select(docs.columns)
     # Rows that repeat the id and the text that stay are still copies of each other.
