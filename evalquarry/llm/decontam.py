@@ -22,7 +22,7 @@ from evalquarry.llm.line_dedup import mix
 
 WINDOW = 8
 LITERALS = 4
-COVERAGE = 0.5
+COVERAGE = 0.2
 CONSISTENT = 0.8
 #: Benchmark windows that one pass over the documents holds (16 bytes each, in every worker).
 PASS_WINDOWS = 2_000_000
