@@ -27,7 +27,13 @@ LENGTH = 400
 WINDOW = 256
 GRAM = 8
 SHALLOW = 32
+#: Groups of so many suffixes go to a trie at any depth.
+TRIE = 48
+#: Words of a suffix that another must share, or it is left out.
+PROBES = 12
 BUCKET_CONTEXTS = 256
+#: Contexts that are sorted together, on average (650 bytes each).
+SORTED_CONTEXTS = 1500
 _U = np.uint64
 _BASES = (0xB7E151628AED2A6B, 0x9E3779B97F4A7C15)
 _TABLES = [mix(np.arange(256, dtype=_U), 100 + k) for k in range(2)]
@@ -155,7 +161,7 @@ def deep_shallow(data: bytes, starts: np.ndarray, length: int = LENGTH, shallow:
         group, depth = stack.pop()
         if len(group) == 1:
             out.append([int(group[0])])
-        elif depth >= shallow or depth + 8 > length or len(group) <= 4:
+        elif depth >= shallow or depth + 8 > length or len(group) <= TRIE:
             trie = BlindTrie(at, length)
             for i in group.tolist():
                 trie.insert(i)
@@ -185,9 +191,12 @@ def sort_bucket(bucket: pa.Table, length: int) -> pa.Table:
     starts = np.concatenate([base[k] + np.asarray(ps, np.int64) for k, ps in enumerate(firsts)])
     owner = np.repeat(np.arange(len(bodies)), [len(ps) for ps in firsts])
     data = b"".join(bodies)
-    # A suffix whose last 8 bytes no other ends with cannot repeat.
-    tails = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[starts + length - 8]
-    _, back, often = np.unique(tails, return_inverse=True, return_counts=True)
+    # A suffix that differs from all others in its first or last 8 bytes or in words between cannot repeat.
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    probe = np.zeros(len(starts), _U)
+    for at in np.linspace(0, length - 8, PROBES).astype(np.int64).tolist():
+        probe = mix(probe ^ words[starts + at], 401)
+    _, back, often = np.unique(probe, return_inverse=True, return_counts=True)
     left = often[back] > 1
     starts, owner = starts[left], owner[left]
     repeat = [g for g in deep_shallow(data, starts, length) if len(g) > 1]
@@ -225,7 +234,8 @@ def repeated_starts(docs: DataFrame, *, length: int, window: int) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("doc", "th", "lo", "hi")]
     contexts = materialise(live.groupBy("f", "ca", "cb").agg(F.count(F.lit(1)).alias("n"), *firsts), "contexts")
     whole = live.join(contexts.where("n > 1").select("ca", "cb"), ["ca", "cb"]).select("doc", "th", F.col("lo").cast("long").alias("s"), F.col("hi").cast("long").alias("e"))
-    several = contexts.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("f", "k")
+    several = materialise(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("f", "k"), "several")
+    buckets = max(1, -(-several.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] // SORTED_CONTEXTS))
     open_ = contexts.join(several, "f").groupBy("doc", "th").agg(F.collect_list(F.struct("f", "k", "n", "lo", "hi")).alias("cs"))
     bodies = open_.join(rows, (open_["doc"].eqNullSafe(rows["doc"])) & (open_["th"] == rows["th"])).select(rows["doc"], rows["th"], "cs", "b")
 
@@ -248,7 +258,8 @@ def repeated_starts(docs: DataFrame, *, length: int, window: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("f", pa.int64()), ("h", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("once", pa.bool_()), ("ps", pa.list_(pa.int32())), ("bytes", pa.binary())]))
 
     parts = bodies.mapInArrow(cut, "f long, h int, doc long, th long, lo long, once boolean, ps array<int>, bytes binary")
-    ends = parts.groupBy("f", "h").applyInArrow(lambda t: sort_bucket(t, length), "doc long, th long, s long, e long")
+    # Many small sorts share a call; the parts of a frequent fingerprint are dealt out apart.
+    ends = parts.groupBy(F.pmod(F.xxhash64("f", "h"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: sort_bucket(t, length), "doc long, th long, s long, e long")
     return whole.union(ends).groupBy("doc", "th").agg(F.collect_set(F.struct("s", "e")).alias("starts"))
 
 
