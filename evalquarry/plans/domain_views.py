@@ -70,12 +70,12 @@ STATS = """stats AS (
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses with tags: documents and their labels."""
+    """Responses with tags: whole documents and their labels. TEXTS still holds 60 characters of each."""
     d, q = read(spark, sf, "documents").select("doc_id", "text", "lang", "source"), read(spark, sf, "labels")
     j = d.join(q, "doc_id", "left")
     verdict = F.when(F.col("quality") == 1, "correct").when(F.col("quality") == 0, "incorrect").otherwise("unsure")
     body = F.concat(
-        F.when(F.col("doc_id") % 4 == 0, "<think>so </think>").when(F.col("doc_id") % 4 == 1, "<think>so ").otherwise(""), F.substring("text", 1, 60), F.lit(" \\boxed{"), (F.col("doc_id") % 7).cast("string"), F.lit("} \\boxed{ \\frac{"), (F.col("doc_id") % 5).cast("string"), F.lit("}{2}} "),
+        F.when(F.col("doc_id") % 4 == 0, "<think>so </think>").when(F.col("doc_id") % 4 == 1, "<think>so ").otherwise(""), F.col("text"), F.lit(" \\boxed{"), (F.col("doc_id") % 7).cast("string"), F.lit("} \\boxed{ \\frac{"), (F.col("doc_id") % 5).cast("string"), F.lit("}{2}} "),
         F.lit("<overall_verdict> "), verdict, F.lit(" </overall_verdict><overall_verdict_1>"), verdict, F.lit("</overall_verdict_1><overall_verdict_2>"), F.when(F.col("toxic") == 0, "incorrect").otherwise("correct"), F.lit("</overall_verdict_2> [ANSWER]assert f("), (F.col("doc_id") % 9).cast("string"), F.lit(") == "), (F.col("doc_id") % 11).cast("string"), F.lit(" [/ANSWER]"),
     )
     return j.select("doc_id", "lang", "source", "quality", "toxic", body.alias("response"))
