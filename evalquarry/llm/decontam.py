@@ -3,13 +3,14 @@
 Texts become canonical tokens: numbers, names and units turn into typed placeholders whose values
 are kept as slots, other words are lower-cased. Windows of canonical tokens of the benchmark items
 form a hash table; documents probe it with all their windows. For an item with enough of its windows
-inside one stretch of a document, the values of aligned slots are compared: a copy has equal values,
-a re-parameterised question maps each value of the item to one value of the document.
+inside one stretch of a document, the two are aligned and the values of aligned slots compared: a copy
+has equal values, a re-parameterised question maps each value of the item to one value of the document.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -142,6 +143,7 @@ class Items:
         self.texts = [canonical(t) for _, t in rows]
         hashes = [windows(t) for _, t in rows]
         self.total = [len(np.unique(h[h != 0])) for h in hashes]
+        self.hashes = [h.tolist() for h in hashes]
         key = np.concatenate([*hashes, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
         pos = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)]).astype(np.int64)
@@ -163,40 +165,75 @@ class Items:
             a, b = np.searchsorted(self.key, h[d], "left"), np.searchsorted(self.key, h[d], "right")
             for e in range(a, b):
                 hits[int(self.item[e])].append((d, int(self.pos[e])))
-        out = []
-        for k, pairs in hits.items():
-            got = self.stretch(k, pairs)
-            n = len({int(h[d]) for d, _ in got})
-            if n >= COVERAGE * self.total[k]:
-                slots, same, share = self.slots(k, got, tokens, raw)
-                if share >= CONSISTENT:
-                    out.append({"item_id": self.ids[k], "matched": n, "windows": self.total[k], "slots": slots, "consistency": share, "kind": "verbatim" if same else "reparameterised"})
-        return out
-
-    def stretch(self, k: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The matches in the stretch of twice the item's length that holds most different windows."""
-        reach, best, a = 2 * max(WINDOW, len(self.texts[k][0])), (0, 0, 0), 0
-        inside: Counter = Counter()
-        for b, (d, p) in enumerate(pairs):
-            inside[p] += 1
-            while d - pairs[a][0] > reach:
-                inside[pairs[a][1]] -= 1
-                if not inside[pairs[a][1]]:
-                    del inside[pairs[a][1]]
-                a += 1
-            best = max(best, (len(inside), -a, b), key=lambda x: x[:2])
-        return pairs[-best[1] : best[2] + 1]
-
-    def slots(self, k: int, pairs: list[tuple[int, int]], tokens: list[str], raw: list[str]) -> tuple[int, bool, float]:
-        """Aligned slots, whether all values are equal, and the share that one mapping of values explains."""
+        out = [self.judge(k, pairs, tokens, raw) for k, pairs in hits.items()]
+        return [x for x in out if x]
+
+    def judge(self, k: int, pairs: list[tuple[int, int]], tokens: list[str], raw: list[str]) -> dict | None:
+        """The best result of an item: verbatim before re-parameterised, then most windows.
+
+        Windows of one offset between document and item are a line. Every line with equal values
+        counts. Else the lines with most windows, and of these with most equal values, come first, each
+        also with what continues it before and behind; a line over windows that these have taken is a
+        wrong alignment of the same words.
+        """
+        need, hashes = COVERAGE * self.total[k], self.hashes[k]
+        if len({hashes[p] for _, p in pairs}) < need:
+            return None
+        lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for d, p in sorted(pairs):
+            lines[d - p].append((d, p))
+        scored = [(len({hashes[p] for _, p in line}), *self.slots(k, line, tokens, raw), line) for line in lines.values()]
+        best, taken = None, set()
+        for n, slots, equal, share, line in sorted(scored, key=lambda x: (-x[0], -x[2], x[4][0])):
+            found = [(n, slots, equal, share)]
+            fresh = 2 * sum(d in taken for d, _ in line) <= len(line)
+            if fresh and n < self.total[k]:
+                chain = self.chain(k, line, pairs)
+                if len(chain) > len(line):
+                    found.append((len({hashes[p] for _, p in chain}), *self.slots(k, chain, tokens, raw)))
+            for n, slots, equal, share in found:
+                if n >= need and (equal == slots or (fresh and share >= CONSISTENT)) and (best is None or (equal == slots, n) > best[:2]):
+                    best = (equal == slots, n, slots, share)
+            if best and best[:2] == (True, self.total[k]):
+                break
+            taken.update(d for d, _ in line)
+        return best and {"item_id": self.ids[k], "matched": best[1], "windows": self.total[k], "slots": best[2], "consistency": best[3], "kind": "verbatim" if best[0] else "reparameterised"}
+
+    def chain(self, k: int, line: list[tuple[int, int]], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """A line and the longest rising runs of matches before and behind it, in a stretch of twice the item's length."""
+        reach = 2 * max(WINDOW, len(self.texts[k][0]))
+        (d, p), (e, q) = line[0], line[-1]
+        before = rising([x for x in pairs if e - reach <= x[0] < d and x[1] < p])
+        start = before[0][0] if before else d
+        return before + line + rising([x for x in pairs if e < x[0] <= start + reach and x[1] > q])
+
+    def slots(self, k: int, pairs: list[tuple[int, int]], tokens: list[str], raw: list[str]) -> tuple[int, int, float]:
+        """Aligned slots, those with equal values, and the share that one mapping of values explains."""
         own_tokens, own = self.texts[k]
         aligned = {(d + j, p + j) for d, p in pairs for j in range(min(WINDOW, len(own_tokens) - p)) if own_tokens[p + j][0] == "<" and tokens[d + j][0] == "<"}
         if not aligned:
-            return 0, True, 1.0
+            return 0, 0, 1.0
         to = defaultdict(Counter)
         for d, p in aligned:
             to[own_tokens[p], own[p]][raw[d]] += 1
-        return len(aligned), all(raw[d] == own[p] for d, p in aligned), sum(c.most_common(1)[0][1] for c in to.values()) / len(aligned)
+        return len(aligned), sum(raw[d] == own[p] for d, p in aligned), sum(c.most_common(1)[0][1] for c in to.values()) / len(aligned)
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs in which both numbers grow."""
+    order = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    ends: list[int] = []
+    at: list[int] = []
+    links = []
+    for j, (_, p) in enumerate(order):
+        k = bisect_left(ends, p)
+        links.append(at[k - 1] if k else -1)
+        ends[k : k + 1], at[k : k + 1] = [p], [j]
+    out, j = [], at[-1] if at else -1
+    while j >= 0:
+        out.append(order[j])
+        j = links[j]
+    return out[::-1]
 
 
 SCHEMA = "item_id long, matched int, windows int, slots int, consistency double, kind string"
@@ -205,8 +242,8 @@ SCHEMA = "item_id long, matched int, windows int, slots int, consistency double,
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """(doc struct of all columns, item_id, matched, windows, slots, consistency, kind) per document and item.
 
-    An item counts if COVERAGE of its windows lie in one stretch of the document and one mapping of
-    slot values explains CONSISTENT of the aligned slots. The benchmark is read in blocks of up to
+    An item counts if COVERAGE of its windows lie on one alignment with the document and one mapping of
+    slot values explains CONSISTENT of the aligned slots; the best of several alignments is given. The benchmark is read in blocks of up to
     ``pass_windows`` windows, each probed by all documents, so its size has no limit. Null and empty
     texts and items match nothing; repeated items and documents each give their rows.
     """

@@ -1,0 +1,28 @@
+"""Whole benchmark items of all kinds in documents: repeating, short, and several to a document."""
+
+from __future__ import annotations
+
+from evalquarry.llm import decontam
+
+PROSE = " ".join(f"{a}{b}" for a in ("ba", "ko", "ti", "re", "lu", "sa") for b in ("mi", "ta", "ro", "ne", "di", "su", "pe"))
+PARALLEL = "on Monday the shop sold 12 red apples to the school on Tuesday the shop sold 15 red apples to the school on Friday the shop sold 9 red apples to the school"
+
+
+def kinds(items, text):
+    return {x["item_id"]: x["kind"] for x in decontam.Items(list(enumerate(items))).match(text)}
+
+
+def test_copy_of_an_item_that_repeats_its_own_template():
+    (got,) = decontam.Items([(1, PARALLEL)]).match(f"{PROSE} {PARALLEL} {PROSE}")
+    assert (got["kind"], got["consistency"], got["matched"]) == ("verbatim", 1.0, got["windows"])
+    changed = PARALLEL.replace("12", "31").replace("15", "44").replace("9", "8")
+    assert kinds([PARALLEL], f"{PROSE} {changed} {PROSE}") == {0: "reparameterised"}
+    second = "on Tuesday the shop sold 15 red apples to the school"
+    assert kinds([PARALLEL], f"{PROSE} {second} {PROSE}") == {0: "verbatim"}
+
+
+def test_edited_copy_is_one_chain_of_alignments():
+    words = PROSE.split()[:40]
+    edited = " ".join(words[:12] + ["extra"] + words[12:24] + words[25:])
+    (got,) = decontam.Items([(1, " ".join(words))]).match(edited)
+    assert got["kind"] == "verbatim" and got["matched"] > 15
