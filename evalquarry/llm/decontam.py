@@ -5,6 +5,7 @@ are kept as slots, other words are lower-cased. Windows of canonical tokens of t
 form a hash table; documents probe it with all their windows. For an item with enough of its windows
 inside one stretch of a document, the two are aligned and the values of aligned slots compared: a copy
 has equal values, a re-parameterised question maps each value of the item to one value of the document.
+Short items make windows of their own length; items of hardly anything but values are found as copies only.
 """
 
 from __future__ import annotations
@@ -92,8 +93,8 @@ def coded(token: str) -> int:
 _HASH = {t: int(mix(np.array([k], np.uint64), 501)[0]) for k, t in enumerate((NUM, NAME, UNIT))}
 
 
-def windows(text: str, size: int = WINDOW) -> np.ndarray:
-    """Hash of each window of ``size`` canonical tokens (one for fewer); 0 where too few of them are words.
+def parsed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the canonical tokens, which of them are words, and hashes of all tokens as they are.
 
     The tokens are those of ``canonical``, found for all words at once.
     """
@@ -117,56 +118,94 @@ def windows(text: str, size: int = WINDOW) -> np.ndarray:
     more[1:] &= name[:-1]
     more[:1] = False
     kept = (kind != END) & ~more
-    h = code & ~np.uint64(7)
+    every = code & ~np.uint64(7)
+    h = every.copy()
     for mask, t in ((number, NUM), (name, NAME), (unit, UNIT)):
         h[mask] = _HASH[t]
     words = (~(number | name | unit))[kept].astype(np.int64)
-    h = h[kept]
+    return h[kept], words, every[kind != END]
+
+
+def windows(h: np.ndarray, words: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Hash of each window of ``size`` tokens; 0 where too few of them are words."""
     n = len(h)
-    if not n:
+    if not 0 < size <= n:
         return np.empty(0, np.uint64)
-    k = min(n, size)
-    out = np.full(n - k + 1, k, np.uint64)
-    for j in range(k):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + h[j : n - k + 1 + j]
+    out = np.full(n - size + 1, size, np.uint64)
+    for j in range(size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + h[j : n - size + 1 + j]
     out = mix(out, 500)
     sums = np.concatenate([[0], np.cumsum(words)])
-    out[sums[k:] - sums[:-k] < min(LITERALS, k)] = 0
+    out[sums[size:] - sums[:-size] < min(LITERALS, size)] = 0
     return out
 
 
+def starts(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` tokens, whatever they are."""
+    return windows(tokens, np.ones(len(tokens), np.int64), size)
+
+
+def table_of(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes but 0, and for each its item and position."""
+    key = np.concatenate([*hashes, np.empty(0, np.uint64)])
+    item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    pos = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    order = order[key[order] != 0]
+    return key[order], item[order], pos[order]
+
+
 class Items:
     """The window table of a block of benchmark items."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in rows]
         self.texts = [canonical(t) for _, t in rows]
-        hashes = [windows(t) for _, t in rows]
+        found = [parsed(t) for _, t in rows]
+        hashes = [windows(h, w, min(WINDOW, len(h))) for h, w, _ in found]
         self.total = [len(np.unique(h[h != 0])) for h in hashes]
         self.hashes = [h.tolist() for h in hashes]
-        key = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-        pos = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        order = order[key[order] != 0]
-        self.key, self.item, self.pos = key[order], item[order], pos[order]
+        #: Window sizes: those of items shorter than WINDOW besides.
+        self.sizes = sorted({WINDOW} | {len(h) for (h, _, _), total in zip(found, self.total) if total and len(h) < WINDOW})
+        self.key, self.item, self.pos = table_of(hashes)
+        # Without a window behind its first word (which may be a name by what stands before it) an item
+        # is also looked up as it is: by its first words, then all of them.
+        self.whole = {k: raw for k, (_, _, raw) in enumerate(found) if len(raw) and not hashes[k][1:].any()}
+        sized: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, raw in self.whole.items():
+            size = min(WINDOW, len(raw))
+            sized[size][int(starts(raw[:size], size)[0])].append(k)
+        self.firsts = {size: (np.array(sorted(by), np.uint64), dict(by)) for size, by in sized.items()}
+
+    def copies(self, raw: np.ndarray) -> set[int]:
+        """The items of ``whole`` that a document's tokens hold word for word."""
+        out: set[int] = set()
+        for size, (keys, by) in self.firsts.items():
+            h = starts(raw, size)
+            for d in np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h).tolist():
+                for k in by[int(h[d])]:
+                    if k not in out and np.array_equal(raw[d : d + len(self.whole[k])], self.whole[k]):
+                        out.add(k)
+        return out
 
     def match(self, text: str) -> list[dict]:
         """One result per item that the text holds."""
-        h = windows(text)
-        if not len(h) or not len(self.key):
-            return []
-        found = np.flatnonzero(self.key[np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)] == h)
-        if not len(found):
-            return []
-        tokens, raw = canonical(text)
+        h, words, every = parsed(text)
+        whole = self.copies(every)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for d in found.tolist():
-            a, b = np.searchsorted(self.key, h[d], "left"), np.searchsorted(self.key, h[d], "right")
-            for e in range(a, b):
-                hits[int(self.item[e])].append((d, int(self.pos[e])))
+        for size in self.sizes if len(self.key) else ():
+            w = windows(h, words, size)
+            for d in np.flatnonzero(self.key[np.minimum(np.searchsorted(self.key, w), len(self.key) - 1)] == w).tolist():
+                a, b = np.searchsorted(self.key, w[d], "left"), np.searchsorted(self.key, w[d], "right")
+                for e in range(a, b):
+                    if (k := int(self.item[e])) not in whole:
+                        hits[k].append((d, int(self.pos[e])))
+        copied = [{"item_id": self.ids[k], "matched": max(1, self.total[k]), "windows": max(1, self.total[k]), "slots": sum(t[0] == "<" for t in self.texts[k][0]), "consistency": 1.0, "kind": "verbatim"} for k in sorted(whole)]
+        if not hits:
+            return copied
+        tokens, raw = canonical(text)
         out = [self.judge(k, pairs, tokens, raw) for k, pairs in hits.items()]
-        return [x for x in out if x]
+        return copied + [x for x in out if x]
 
     def judge(self, k: int, pairs: list[tuple[int, int]], tokens: list[str], raw: list[str]) -> dict | None:
         """The best result of an item: verbatim before re-parameterised, then most windows.
@@ -245,7 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
     An item counts if COVERAGE of its windows lie on one alignment with the document and one mapping of
     slot values explains CONSISTENT of the aligned slots; the best of several alignments is given. The benchmark is read in blocks of up to
     ``pass_windows`` windows, each probed by all documents, so its size has no limit. Null and empty
-    texts and items match nothing; repeated items and documents each give their rows.
+    texts and items match nothing; an item of a word or two matches wherever they stand; repeated items and documents each give their rows.
     """
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text_of(docs[text]).alias("t"))
     kind = packed.schema["doc"].dataType.simpleString()

@@ -26,3 +26,15 @@ def test_edited_copy_is_one_chain_of_alignments():
     edited = " ".join(words[:12] + ["extra"] + words[12:24] + words[25:])
     (got,) = decontam.Items([(1, " ".join(words))]).match(edited)
     assert got["kind"] == "verbatim" and got["matched"] > 15
+
+
+def test_short_items_and_items_of_values():
+    short, values, tiny = "What is the capital of France?", "Anna 12 Bob 13 Carl 14 Dora 15 Emil 16 Fred 17", "Who is Anna Smith?"
+    items = [short, values, tiny, "", "?!"]
+    assert kinds(items, f"{PROSE}. {short} {PROSE}") == {0: "verbatim"}
+    assert kinds(items, f"{PROSE} Question: {short} {PROSE}") == {0: "verbatim"}
+    assert kinds(items, f"{PROSE}. What is the capital of Spain? {PROSE}") == {0: "reparameterised"}
+    assert kinds(items, f"{PROSE} {values} {PROSE}. {tiny} {PROSE}") == {1: "verbatim", 2: "verbatim"}
+    assert kinds(items, f"{PROSE} {values.replace('17', '18')} {PROSE}") == {} and kinds(items, PROSE) == {}
+    assert kinds(items, short) == {0: "verbatim"} and kinds(items, "") == {} and kinds(["", "?!"], PROSE) == {}
+    assert kinds([values], values + " " + values) == {0: "verbatim"}
