@@ -26,6 +26,8 @@ WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.2
 CONSISTENT = 0.8
+#: Words in a row that are a copy whatever their share of an item.
+RUN_WORDS = 50
 #: Benchmark windows that one pass over the documents holds (16 bytes each, in every worker).
 PASS_WINDOWS = 2_000_000
 # Units of measure and number words.
@@ -165,6 +167,7 @@ class Items:
         hashes = [windows(h, w, min(WINDOW, len(h))) for h, w, _ in found]
         self.total = [len(np.unique(h[h != 0])) for h in hashes]
         self.hashes = [h.tolist() for h in hashes]
+        self.long = [sum(w.count(" ") + 1 for w in own) >= RUN_WORDS for _, own in self.texts]
         #: Window sizes: those of items shorter than WINDOW besides.
         self.sizes = sorted({WINDOW} | {len(h) for (h, _, _), total in zip(found, self.total) if total and len(h) < WINDOW})
         self.key, self.item, self.pos = table_of(hashes)
@@ -213,10 +216,10 @@ class Items:
         Windows of one offset between document and item are a line. Every line with equal values
         counts. Else the lines with most windows, and of these with most equal values, come first, each
         also with what continues it before and behind; a line over windows that these have taken is a
-        wrong alignment of the same words.
+        wrong alignment of the same words. RUN_WORDS equal words in a row always count.
         """
         need, hashes = COVERAGE * self.total[k], self.hashes[k]
-        if len({hashes[p] for _, p in pairs}) < need:
+        if not self.long[k] and len({hashes[p] for _, p in pairs}) < need:
             return None
         lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for d, p in sorted(pairs):
@@ -233,11 +236,28 @@ class Items:
             for n, slots, equal, share in found:
                 if n >= need and (equal == slots or (fresh and share >= CONSISTENT)) and (best is None or (equal == slots, n) > best[:2]):
                     best = (equal == slots, n, slots, share)
+            if self.long[k] and (best is None or not best[0]):
+                for a, b in self.runs(k, line[0][0] - line[0][1], raw):
+                    part = [(d, p) for d, p in line if a <= p and p + min(WINDOW, len(self.texts[k][0])) <= b]
+                    copy = (True, len({hashes[p] for _, p in part}), sum(t[0] == "<" for t in self.texts[k][0][a:b]), 1.0)
+                    best = copy if best is None or copy[:2] > best[:2] else best
             if best and best[:2] == (True, self.total[k]):
                 break
             taken.update(d for d, _ in line)
         return best and {"item_id": self.ids[k], "matched": best[1], "windows": self.total[k], "slots": best[2], "consistency": best[3], "kind": "verbatim" if best[0] else "reparameterised"}
 
+    def runs(self, k: int, offset: int, raw: list[str]) -> list[tuple[int, int]]:
+        """Where, at this offset of the document, RUN_WORDS or more words of an item are equal in a row."""
+        own = self.texts[k][1]
+        out, start = [], max(0, -offset)
+        stop = min(len(own), len(raw) - offset)
+        for p in range(start, stop + 1):
+            if p == stop or own[p] != raw[p + offset]:
+                if sum(w.count(" ") + 1 for w in own[start:p]) >= RUN_WORDS:
+                    out.append((start, p))
+                start = p + 1
+        return out
+
     def chain(self, k: int, line: list[tuple[int, int]], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """A line and the longest rising runs of matches before and behind it, in a stretch of twice the item's length."""
         reach = 2 * max(WINDOW, len(self.texts[k][0]))
@@ -282,7 +302,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
     """(doc struct of all columns, item_id, matched, windows, slots, consistency, kind) per document and item.
 
     An item counts if COVERAGE of its windows lie on one alignment with the document and one mapping of
-    slot values explains CONSISTENT of the aligned slots; the best of several alignments is given. The benchmark is read in blocks of up to
+    slot values explains CONSISTENT of the aligned slots, or if RUN_WORDS of its words in a row are in the
+    document (one window of words among them); the best of several alignments is given. The benchmark is read in blocks of up to
     ``pass_windows`` windows, each probed by all documents, so its size has no limit. Null and empty
     texts and items match nothing; an item of a word or two matches wherever they stand; repeated items and documents each give their rows.
     """

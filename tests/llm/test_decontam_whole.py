@@ -38,3 +38,22 @@ def test_short_items_and_items_of_values():
     assert kinds(items, f"{PROSE} {values.replace('17', '18')} {PROSE}") == {} and kinds(items, PROSE) == {}
     assert kinds(items, short) == {0: "verbatim"} and kinds(items, "") == {} and kinds(["", "?!"], PROSE) == {}
     assert kinds([values], values + " " + values) == {0: "verbatim"}
+
+
+def test_exact_copy_far_from_a_look_alike():
+    item = "so the baker Alice gave bread to Alice and later Alice took cake from Alice while it was raining a lot outside"
+    names = iter(["Ann", "Bea", "Cid", "Dot"])
+    alike = " ".join(next(names) if w == "Alice" else w for w in item.split())
+    variant = item.replace("Alice", "Ann")
+    assert kinds([item], f"{alike} {PROSE} {PROSE}") == {}
+    assert kinds([item], f"{variant} {PROSE} {PROSE}") == {0: "reparameterised"}
+    for first in (alike, variant):
+        assert kinds([item], f"{first} {PROSE} {PROSE} {item} {PROSE}") == {0: "verbatim"}
+
+
+def test_long_run_of_a_longer_item():
+    words = [a + b + c for a in ("ba", "ko", "ti", "re", "lu", "sa", "no") for b in ("mi", "ta", "ro", "ne", "di", "su", "pe") for c in ("x", "y", "z", "q", "v", "w", "k", "f")]
+    item = " ".join(words[:380])
+    (got,) = decontam.Items([(1, item)]).match(f"{PROSE} {' '.join(words[100:160])} {PROSE}")
+    assert (got["kind"], got["matched"], got["windows"]) == ("verbatim", 53, 373)
+    assert kinds([item], f"{PROSE} {' '.join(words[100:149])} {PROSE}") == {}
