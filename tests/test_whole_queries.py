@@ -26,3 +26,24 @@ def test_texts_are_read_to_their_end(spark, write):
     share = {r.status: r.n for r in QUERIES["thinking_status_share"](spark, at).collect()}
     assert share == {"malformed_thinking": 1, "parsable_thinking": 1, "no_thinking": 1}
     assert {r.doc_id: r.boxed for r in QUERIES["boxed_answers"](spark, at).collect()} == {4: "\\frac{4}{2}", 5: "\\frac{0}{2}", 6: "\\frac{1}{2}"}
+
+
+def test_stats_of_all_runs_are_joined(spark, write):
+    rows = [(i, 30 + i % 21, "click", float(i), f'{{"k": {i // 4 % 6}}}') for i in range(400)]
+    at = write("events", rows, "event_id long, user_id long, event_type string, value double, props string")
+    got = {r.row_ord: (r.prompt, r.matched) for r in QUERIES["joined_instance_stats"](spark, at).collect()}
+    key = lambda i: (30 + i % 21, i % 10, i % 3)
+    states = {}
+    for i in range(400):
+        if i % 4:
+            states.setdefault(key(i), {}).setdefault(i // 4 % 6 % 3, i)
+    want = {}
+    for i in range(400):
+        mine = states.get(key(i), {})
+        if i // 4 % 6 % 3 in mine:
+            want[i] = (f"prompt {mine[i // 4 % 6 % 3]}", "exact")
+        elif i // 4 % 6 % 3 == 0 and len(mine) == 1:
+            want[i] = (f"prompt {next(iter(mine.values()))}", "fallback")
+        else:
+            want[i] = (None, "unmatched")
+    assert got == want and len({m for _, m in want.values()}) == 3
