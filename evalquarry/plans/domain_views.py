@@ -33,12 +33,6 @@ GEN = f"""gen AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def gen4(spark: SparkSession, sf: str) -> DataFrame:
-    """Problems with four or more generations, the first four of each."""
-    g = gen(spark, sf).where("response_id < 4")
-    return g.withColumn("c_", F.count(F.lit(1)).over(W.partitionBy("id"))).where("c_ = 4").drop("c_")
-
-
 GEN4 = GEN + """, gen4 AS (SELECT * FROM gen WHERE response_id < 4 AND id IN (SELECT id FROM gen WHERE response_id = 3))"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalquarry.operators import curves, distances, flows, generations, joins, outcomes, recursion
 from evalquarry.plans.base import query
-from evalquarry.plans.domain_views import GEN, GEN4, PARTS, gen, gen4, parts, read
+from evalquarry.plans.domain_views import GEN, GEN4, PARTS, gen, parts, read
 
 _WINDOWS = GEN4 + """, w AS (
   SELECT s.id, s.source, s.k, s.i, g.response_id, g.answer, g.correctness, (g.response_id - s.i + 4) % 4 AS pos
@@ -16,14 +16,14 @@ _CURVE = """, m AS (SELECT source, k, i, avg(v) AS v FROM (SELECT source, k, i,
 SELECT source, k, round(avg(v), 6) AS {n}_at_k, round(stddev_pop(v), 6) AS std_{n}_at_k FROM m GROUP BY source, k"""
 
 
-def _packed4(spark, sf):
-    return generations.pack(gen4(spark, sf), ["id", "source"])
+def _packed(spark, sf):
+    return generations.pack(gen(spark, sf), ["id", "source"])
 
 
 @query("WITH " + _WINDOWS + ", p AS (SELECT id, source, k, i, CAST(coalesce(bool_or(correctness), false) AS DOUBLE) AS v FROM w GROUP BY ALL)" + _CURVE.format(n="pass"))
 def pass_at_k_by_source(spark, sf):
     """AGG1, AGG2, AGG4, WIN1."""
-    c = curves.curves_by_source(_packed4(spark, sf), majority=None)
+    c = curves.curves_by_source(_packed(spark, sf), majority=None)
     return c.select("source", "k", F.round("pass_at_k", 6).alias("pass_at_k"), F.round("std_pass_at_k", 6).alias("std_pass_at_k"))
 
 
@@ -33,7 +33,7 @@ b AS (SELECT id, source, k, i, last FROM a QUALIFY row_number() OVER (PARTITION
 p AS (SELECT id, source, k, i, CAST(CASE WHEN r * 2 > k THEN 1 WHEN r = 0 THEN 0 ELSE last END AS DOUBLE) AS v FROM t JOIN b USING (id, source, k, i))""" + _CURVE.format(n="maj"))
 def maj_at_k_by_source(spark, sf):
     """AGG3, AGG4, SMP5."""
-    c = curves.curves_by_source(_packed4(spark, sf))
+    c = curves.curves_by_source(_packed(spark, sf))
     return c.select("source", "k", F.round("maj_at_k", 6).alias("maj_at_k"), F.round("std_maj_at_k", 6).alias("std_maj_at_k"))
 
 
@@ -251,8 +251,10 @@ def unpivot_drafts(spark, sf):
 
 @query("WITH " + GEN4 + ", r AS (SELECT id, response_id, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', '42', id, response_id)), response_id) AS draft_no FROM gen4) SELECT id, response_id, CAST(draft_no AS INT) AS draft_no FROM r WHERE draft_no <= 2")
 def sample_both_pools(spark, sf):
-    """SMP2, FIL6."""
-    return generations.sample_both_pools(gen4(spark, sf), 2).select("id", "response_id", "draft_no")
+    """SMP2, FIL6: of every problem that has two generations to draw."""
+    g = gen(spark, sf)
+    enough = g.groupBy("id").count().where("count >= 2")
+    return generations.sample_both_pools(g.join(enough, "id", "left_semi"), 2).select("id", "response_id", "draft_no")
 
 
 @query("WITH " + GEN + " SELECT id, response_id, answer FROM gen WHERE finish = 'stop' QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', '42', id, response_id)), response_id) = 1")

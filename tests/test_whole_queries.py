@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter, defaultdict
+from statistics import fmean, pstdev
+
 import pytest
 
 from evalquarry.plans.registry import QUERIES
@@ -47,3 +51,47 @@ def test_stats_of_all_runs_are_joined(spark, write):
         else:
             want[i] = (None, "unmatched")
     assert got == want and len({m for _, m in want.values()}) == 3
+
+
+#: Generations of each problem: quantity and return flag (A is right, R wrong).
+GENS = {1: [(12, "A")], 2: [(7, "R"), (7, "R"), (9, "A")], 3: [(k % 3 + 1, "AR"[k % 3 > 0]) for k in range(7)], 4: [(5, "N"), (5, "A")]}
+
+
+def generations(write):
+    of = {1: "F", 2: "F", 3: "O", 4: "O"}
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
+    write("orders", [(k, of[k], "1") for k in GENS], "o_orderkey long, o_orderstatus string, o_orderpriority string")
+    return of, write("lineitem", [(k, j, 1, j, float(q), 1.0, 0.0, 0.0, flag, "F", "d") for k, g in GENS.items() for j, (q, flag) in enumerate(g)], schema)
+
+
+def majority(window):
+    right = sum(f == "A" for _, f in window)
+    if right * 2 > len(window) or not right:
+        return float(right > 0)
+    top, _ = Counter(q for q, _ in window).most_common(1)[0]
+    return float([f for q, f in window if q == top][-1] == "A")
+
+
+def test_curves_of_all_generations(spark, write):
+    of, at = generations(write)
+    for name, value in (("pass", lambda w: float(any(f == "A" for _, f in w))), ("maj", majority)):
+        seen = defaultdict(lambda: defaultdict(list))
+        for key, g in GENS.items():
+            for k in range(1, len(g) + 1):
+                for i in range(len(g)):
+                    for source in (of[key], "overall"):
+                        seen[source, k][i].append(value((g + g)[i : i + k]))
+        means = {at_: [fmean(v) for v in x.values()] for at_, x in seen.items()}
+        got = {(r.source, r.k): (r[f"{name}_at_k"], r[f"std_{name}_at_k"]) for r in QUERIES[f"{name}_at_k_by_source"](spark, at).collect()}
+        assert got == {x: (pytest.approx(fmean(m), abs=2e-6), pytest.approx(pstdev(m), abs=2e-6)) for x, m in means.items()}
+        assert max(k for _, k in got) == 7
+
+
+def test_samples_of_all_generations(spark, write):
+    _, at = generations(write)
+    drawn = defaultdict(list)
+    for r in QUERIES["sample_both_pools"](spark, at).collect():
+        drawn[r.id].append((r.draft_no, r.response_id))
+    for key, g in GENS.items():
+        order = sorted(range(len(g)), key=lambda j: (hashlib.md5(f"42:{key}:{j}".encode()).hexdigest(), j))
+        assert sorted(drawn.get(key, [])) == ([(1, order[0]), (2, order[1])] if len(g) > 1 else [])
