@@ -99,14 +99,14 @@ def answer_formats(spark, sf):
 def equivalent_answers(spark, sf):
     """MTH1, MTH2, STR12: n/5 in LaTeX against its whole part."""
     a = F.col("answer")
-    return gen(spark, sf).where("response_id = 0").select("id", "response_id", V.equivalent_udf(F.concat(F.lit("\\frac{"), a, F.lit("}{5}")), F.floor(a.cast("double") / 5).cast("string")).alias("equal"))
+    return gen(spark, sf).select("id", "response_id", V.equivalent_udf(F.concat(F.lit("\\frac{"), a, F.lit("}{5}")), F.floor(a.cast("double") / 5).cast("string")).alias("equal"))
 
 
 @query("WITH " + GEN + " SELECT id, CAST(answer AS INT) = 12 AS solved FROM gen WHERE response_id = 0")
 def game_of_24(spark, sf):
     """MTH3."""
     a = F.col("answer")
-    return gen(spark, sf).where("response_id = 0").select("id", V.correct_24_udf(F.concat(a, F.lit(" + 6 × 2 = 24")), F.array(a.cast("long"), F.lit(6).cast("long"), F.lit(2).cast("long"))).alias("solved"))
+    return gen(spark, sf).select("id", "response_id", V.correct_24_udf(F.concat(a, F.lit(" + 6 × 2 = 24")), F.array(a.cast("long"), F.lit(6).cast("long"), F.lit(2).cast("long"))).alias("solved"))
 
 
 @query("WITH " + GEN + ", m AS (SELECT id, response_id, answer, lead(answer) OVER (PARTITION BY id ORDER BY response_id) AS other FROM gen) SELECT id, response_id, CAST(levenshtein(answer, other) AS DOUBLE) AS levenshtein, CASE WHEN answer = other THEN 0.0 ELSE 1.0 END AS tree, CASE WHEN answer = other THEN 1.0 ELSE 0.0 END AS binary FROM m WHERE other IS NOT NULL")

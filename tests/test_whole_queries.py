@@ -95,3 +95,12 @@ def test_samples_of_all_generations(spark, write):
     for key, g in GENS.items():
         order = sorted(range(len(g)), key=lambda j: (hashlib.md5(f"42:{key}:{j}".encode()).hexdigest(), j))
         assert sorted(drawn.get(key, [])) == ([(1, order[0]), (2, order[1])] if len(g) > 1 else [])
+
+
+def test_all_generations_are_verified(spark, write):
+    _, at = generations(write)
+    rows = {(k, j): q for k, g in GENS.items() for j, (q, _) in enumerate(g)}
+    equal = {(r.id, r.response_id): r.equal for r in QUERIES["equivalent_answers"](spark, at).collect()}
+    assert equal == {x: q % 5 == 0 for x, q in rows.items()} and any(v for (_, j), v in equal.items() if j)
+    solved = {(r.id, r.response_id): r.solved for r in QUERIES["game_of_24"](spark, at).collect()}
+    assert solved == {x: q == 12 for x, q in rows.items()}
