@@ -22,8 +22,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 WINDOW = 256
-#: Bounds of the training sample: languages, texts of a language, characters of each of three places of a text.
-MAX_LANGS, SAMPLE_TEXTS, SAMPLE_CHARS = 64, 400, 240
+#: Bounds of the training sample: texts of a language, characters of each of three places of a text.
+SAMPLE_TEXTS, SAMPLE_CHARS = 400, 240
 EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 4
 BATCH_WINDOWS = 256
 UNKNOWN = "und"
@@ -149,9 +149,9 @@ def train(samples: list[tuple[str, str]], *, epochs: int = EPOCHS, seed: int = S
 
 
 def sample(docs: DataFrame, *, id: str, text: str, label: str, usable: Column) -> list[tuple[str, str]]:
-    """The bounded training sample: texts of each language by a hash of the row, three places of each."""
+    """The training sample, bounded for each language: texts by a hash of the row, three places of each."""
     rows = docs.where(usable & docs[text].isNotNull() & docs[label].isNotNull())
-    counts = rows.groupBy(rows[label].alias("l")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "l").limit(MAX_LANGS).collect()
+    counts = rows.groupBy(rows[label].alias("l")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "l").collect()
     if not counts:
         return []
     share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, SAMPLE_TEXTS / r["c"])))])
