@@ -33,9 +33,6 @@ GEN = f"""gen AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-GEN4 = GEN + """, gen4 AS (SELECT * FROM gen WHERE response_id < 4 AND id IN (SELECT id FROM gen WHERE response_id = 3))"""
-
-
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Direct, one-draft and mitigated generations."""
     g = gen(spark, sf)
@@ -64,12 +61,12 @@ STATS = """stats AS (
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses with tags: whole documents and their labels. TEXTS still holds 60 characters of each."""
+    """Responses with tags: whole documents and their labels."""
     d, q = read(spark, sf, "documents").select("doc_id", "text", "lang", "source"), read(spark, sf, "labels")
     j = d.join(q, "doc_id", "left")
     verdict = F.when(F.col("quality") == 1, "correct").when(F.col("quality") == 0, "incorrect").otherwise("unsure")
     body = F.concat(
-        F.when(F.col("doc_id") % 4 == 0, "<think>so </think>").when(F.col("doc_id") % 4 == 1, "<think>so ").otherwise(""), F.col("text"), F.lit(" \\boxed{"), (F.col("doc_id") % 7).cast("string"), F.lit("} \\boxed{ \\frac{"), (F.col("doc_id") % 5).cast("string"), F.lit("}{2}} "),
+        F.when(F.col("doc_id") % 4 == 0, "<think>so </think>").when(F.col("doc_id") % 4 == 1, "<think>so ").otherwise(""), F.coalesce("text", F.lit("")), F.lit(" \\boxed{"), (F.col("doc_id") % 7).cast("string"), F.lit("} \\boxed{ \\frac{"), (F.col("doc_id") % 5).cast("string"), F.lit("}{2}} "),
         F.lit("<overall_verdict> "), verdict, F.lit(" </overall_verdict><overall_verdict_1>"), verdict, F.lit("</overall_verdict_1><overall_verdict_2>"), F.when(F.col("toxic") == 0, "incorrect").otherwise("correct"), F.lit("</overall_verdict_2> [ANSWER]assert f("), (F.col("doc_id") % 9).cast("string"), F.lit(") == "), (F.col("doc_id") % 11).cast("string"), F.lit(" [/ANSWER]"),
     )
     return j.select("doc_id", "lang", "source", "quality", "toxic", body.alias("response"))
@@ -77,7 +74,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 TEXTS = r"""texts AS (
   SELECT d.doc_id, lang, source, quality, toxic,
-    concat(CASE d.doc_id % 4 WHEN 0 THEN '<think>so </think>' WHEN 1 THEN '<think>so ' ELSE '' END, substr(text, 1, 60), ' \boxed{', CAST(d.doc_id % 7 AS VARCHAR), '} \boxed{ \frac{', CAST(d.doc_id % 5 AS VARCHAR), '}{2}} <overall_verdict> ',
+    concat(CASE d.doc_id % 4 WHEN 0 THEN '<think>so </think>' WHEN 1 THEN '<think>so ' ELSE '' END, text, ' \boxed{', CAST(d.doc_id % 7 AS VARCHAR), '} \boxed{ \frac{', CAST(d.doc_id % 5 AS VARCHAR), '}{2}} <overall_verdict> ',
       v, ' </overall_verdict><overall_verdict_1>', v, '</overall_verdict_1><overall_verdict_2>', CASE WHEN toxic = 0 THEN 'incorrect' ELSE 'correct' END, '</overall_verdict_2> [ANSWER]assert f(', CAST(d.doc_id % 9 AS VARCHAR), ') == ', CAST(d.doc_id % 11 AS VARCHAR), ' [/ANSWER]') AS response
   FROM documents d LEFT JOIN (SELECT * FROM labels) q ON d.doc_id = q.doc_id,
     LATERAL (SELECT CASE quality WHEN 1 THEN 'correct' WHEN 0 THEN 'incorrect' ELSE 'unsure' END AS v) t)"""

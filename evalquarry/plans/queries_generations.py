@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from evalquarry.operators import curves, distances, flows, generations, joins, outcomes, recursion
 from evalquarry.plans.base import query
-from evalquarry.plans.domain_views import GEN, GEN4, PARTS, gen, parts, read
+from evalquarry.plans.domain_views import GEN, PARTS, gen, parts, read
 
-_WINDOWS = GEN4 + """, w AS (
-  SELECT s.id, s.source, s.k, s.i, g.response_id, g.answer, g.correctness, (g.response_id - s.i + 4) % 4 AS pos
-  FROM (SELECT id, source, k, i FROM (SELECT DISTINCT id, source FROM gen4), (SELECT unnest([1, 2, 3, 4]) AS k), (SELECT unnest([0, 1, 2, 3]) AS i)) s
-  JOIN gen4 g ON g.id = s.id AND (g.response_id - s.i + 4) % 4 < s.k)"""
+_WINDOWS = GEN + """, sized AS (SELECT id, source, count(*) AS n FROM gen GROUP BY id, source), starts AS (SELECT id, source, n, unnest(range(n)) AS i FROM sized), spans AS (SELECT *, unnest(range(1, n + 1)) AS k FROM starts), w AS (
+  SELECT s.id, s.source, s.k, s.i, g.response_id, g.answer, g.correctness, (g.response_id - s.i + s.n) % s.n AS pos
+  FROM spans s JOIN gen g ON g.id = s.id AND (g.response_id - s.i + s.n) % s.n < s.k)"""
 _CURVE = """, m AS (SELECT source, k, i, avg(v) AS v FROM (SELECT source, k, i, v FROM p UNION ALL SELECT 'overall', k, i, v FROM p) GROUP BY ALL)
 SELECT source, k, round(avg(v), 6) AS {n}_at_k, round(stddev_pop(v), 6) AS std_{n}_at_k FROM m GROUP BY source, k"""
 
@@ -249,7 +248,7 @@ def unpivot_drafts(spark, sf):
     return generations.unpivot_drafts(wide, ["id"], 3)
 
 
-@query("WITH " + GEN4 + ", r AS (SELECT id, response_id, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', '42', id, response_id)), response_id) AS draft_no FROM gen4) SELECT id, response_id, CAST(draft_no AS INT) AS draft_no FROM r WHERE draft_no <= 2")
+@query("WITH " + GEN + ", r AS (SELECT id, response_id, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', '42', id, response_id)), response_id) AS draft_no FROM gen) SELECT id, response_id, CAST(draft_no AS INT) AS draft_no FROM r WHERE n >= 2 AND draft_no <= 2")
 def sample_both_pools(spark, sf):
     """SMP2, FIL6: of every problem that has two generations to draw."""
     g = gen(spark, sf)

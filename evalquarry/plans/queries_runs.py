@@ -110,9 +110,9 @@ def unique_stat(spark, sf):
 
 @query("WITH " + STATS + """, st AS (SELECT run, instance_id, trial, perturbation, arg_min(row_ord, row_ord) AS p FROM stats WHERE row_ord % 4 <> 0 GROUP BY ALL), lone AS (SELECT run, instance_id, trial, any_value(p) AS p FROM st GROUP BY ALL HAVING count(*) = 1)
 SELECT s.row_ord, 'prompt ' || coalesce(st.p, CASE WHEN s.perturbation IS NULL THEN lone.p END) AS prompt, CASE WHEN st.p IS NOT NULL THEN 'exact' WHEN s.perturbation IS NULL AND lone.p IS NOT NULL THEN 'fallback' ELSE 'unmatched' END AS matched
-FROM (SELECT * FROM stats WHERE run < 40) s LEFT JOIN st ON s.run = st.run AND s.instance_id = st.instance_id AND s.trial = st.trial AND s.perturbation IS NOT DISTINCT FROM st.perturbation LEFT JOIN lone ON s.run = lone.run AND s.instance_id = lone.instance_id AND s.trial = lone.trial""")
+FROM stats s LEFT JOIN st ON s.run = st.run AND s.instance_id = st.instance_id AND s.trial = st.trial AND s.perturbation IS NOT DISTINCT FROM st.perturbation LEFT JOIN lone ON s.run = lone.run AND s.instance_id = lone.instance_id AND s.trial = lone.trial""")
 def joined_instance_stats(spark, sf):
-    """JOI8, JOI9, WIN2: all runs (the SQL has those below 40); no request is logged for every fourth row."""
+    """JOI8, JOI9, WIN2: no request is logged for every fourth row."""
     s = stats(spark, sf).withColumn("instance_id", F.concat_ws("/", F.col("run"), F.col("instance_id")))
     states = s.where("row_ord % 4 <> 0").select("instance_id", "trial", "perturbation", "row_ord", F.concat(F.lit("prompt "), F.col("row_ord").cast("string")).alias("prompt"))
     return runs.joined_instance_stats(s, states, "row_ord").select("row_ord", "prompt", "matched")

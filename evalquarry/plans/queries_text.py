@@ -17,8 +17,9 @@ def boxed_answers(spark, sf):
     return texts(spark, sf).select("doc_id", X.boxed_answer(F.col("response")).alias("boxed"))
 
 
-_SPLIT = TEXTS + """, s AS (SELECT doc_id, source, CASE WHEN NOT contains(response, '<think>') THEN response ELSE list_extract(string_split(response, '</think>'), -1) END AS final,
-  CASE WHEN NOT contains(response, '<think>') THEN 'no_thinking' WHEN contains(response, '</think>') THEN 'parsable_thinking' ELSE 'malformed_thinking' END AS status FROM texts)"""
+_SPLIT = TEXTS + """, a AS (SELECT doc_id, source, response, list_extract(string_split(response, '</think>'), -1) AS answer, len(string_split(response, '<think>')) AS opened, len(string_split(response, '</think>')) AS closed FROM texts),
+s AS (SELECT doc_id, source, CASE WHEN opened = 1 THEN response WHEN opened = closed THEN answer ELSE substr(answer, 1, 16384) END AS final,
+  CASE WHEN opened = 1 THEN 'no_thinking' WHEN opened = closed THEN 'parsable_thinking' WHEN length(answer) > 16384 THEN 'truncated_malformed_thinking' ELSE 'malformed_thinking' END AS status FROM a)"""
 
 
 @query("WITH " + _SPLIT + " SELECT doc_id, final, status FROM s")
@@ -95,14 +96,14 @@ def answer_formats(spark, sf):
     return gen(spark, sf).select("id", "response_id", X.strip_leading_zero(F.concat(F.lit("00"), a)).alias("stripped"), X.draft_key(a).alias("draft_key"), X.percent(a.cast("double") / 8).alias("share"))
 
 
-@query("WITH " + GEN + " SELECT id, response_id, CAST(answer AS INT) % 5 = 0 AS equal FROM gen WHERE response_id = 0")
+@query("WITH " + GEN + " SELECT id, response_id, CAST(answer AS INT) % 5 = 0 AS equal FROM gen")
 def equivalent_answers(spark, sf):
     """MTH1, MTH2, STR12: n/5 in LaTeX against its whole part."""
     a = F.col("answer")
     return gen(spark, sf).select("id", "response_id", V.equivalent_udf(F.concat(F.lit("\\frac{"), a, F.lit("}{5}")), F.floor(a.cast("double") / 5).cast("string")).alias("equal"))
 
 
-@query("WITH " + GEN + " SELECT id, CAST(answer AS INT) = 12 AS solved FROM gen WHERE response_id = 0")
+@query("WITH " + GEN + " SELECT id, response_id, CAST(answer AS INT) = 12 AS solved FROM gen")
 def game_of_24(spark, sf):
     """MTH3."""
     a = F.col("answer")
