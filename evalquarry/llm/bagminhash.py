@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import materialise, table
+from evalquarry.llm.common import materialise, portions, table, tidied
 from evalquarry.llm.components import components
-from evalquarry.llm.line_dedup import mix
-from evalquarry.llm.suffix_dedup import prefix_hashes, substring_hash
+from evalquarry.llm.hashing import Substrings, mix
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 BLOCK_MEMBERS = 512
+#: Bytes whose running sums are held at once.
+STRETCH = 1 << 19
 _U = np.uint64
 
 
@@ -46,21 +47,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = np.concatenate([[False], _WORD[b], [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
-    sums = prefix_hashes(b, 1)[0]
     begin = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
-    return substring_hash(sums, 0, start, end), np.searchsorted(start, begin)
-
-
-def portions(texts: list[str], most: int = 1 << 20):
-    """Slices of a batch of about ``most`` characters at least one text each."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        if k > at and size + len(t) > most:
-            yield at, k
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+    out = np.empty(len(start), _U)
+    at = 0
+    while at < len(start):  # the running sums of a stretch of words at a time
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, "right")))
+        out[at:stop] = Substrings(b[start[at] : end[stop - 1]])(start[at:stop] - start[at], end[at:stop] - start[at])
+        at = stop
+    return out, np.searchsorted(start, begin)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +158,7 @@ def verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
             yield out.filter(pa.array(found >= least))
 
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "wx", "wy")
-    return joined.mapInArrow(run, "x binary, y binary, similarity double")
+    return joined.mapInArrow(tidied(run), "x binary, y binary, similarity double")
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
@@ -242,13 +236,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", least: float = SIMIL
                 marks = sketch(signatures(*weighted(*shingles(words, offsets)), hi - lo, bands * rows))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), lists, pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "words", "sketch"])
 
-    signed = own.mapInArrow(sign, "node binary, keys array<bigint>")
+    signed = own.mapInArrow(tidied(sign), "node binary, keys array<bigint>")
     member = materialise(signed.select("node", F.explode("keys").alias("key")).distinct(), "bands")
     bucket = materialise(member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).where("c > 1"), "leaders")
     live = materialise(member.join(bucket, "key"), "buckets")
     named = live.select("node").distinct()
     texts = own.join(named, "node", "left_semi")
-    bags = materialise(texts.mapInArrow(bag, "node binary, words array<bigint>, sketch binary").dropDuplicates(["node"]), "bags")
+    bags = materialise(texts.mapInArrow(tidied(bag), "node binary, words array<bigint>, sketch binary").dropDuplicates(["node"]), "bags")
     star = live.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct()
     links = materialise(verify(star, bags, least), "links")
     roots = components(links)

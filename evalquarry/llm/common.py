@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +16,13 @@ from pyspark.sql import functions as F
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (local runs and
-    tests) a temporary folder is made once and set for the session.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a local run makes a
+    temporary folder once and sets it for the session, and a cluster raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evalquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,3 +41,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+#: Rows of documents that one Arrow batch holds, at most.
+BATCH_ROWS = 2000
+
+
+def packed(docs: DataFrame, text: str, keep: list[str] | None = None) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[str | None]]]:
+    """``docs`` for a map over Arrow batches, and a function that gives a batch's texts.
+
+    Column ``doc`` is a struct of the columns ``keep`` (None: all), safe from names that clash. The
+    text travels once: inside the struct, or in a column of its own if it is not kept. Batches hold
+    whole documents, so they are made smaller than Spark's default.
+    """
+    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows, "10000")) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    names = docs.columns if keep is None else list(keep)
+    doc = F.struct(*[docs[c] for c in names]).alias("doc")
+    if text in names:
+        at = names.index(text)
+        return docs.select(doc), lambda b: b.column("doc").field(at).to_pylist()
+    return docs.select(doc, docs[text].alias("t")), lambda b: b.column("t").to_pylist()
+
+
+def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of about ``most`` characters, at least one text each."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > at and size + n > most:
+            yield at, k
+            at, size = k, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def tidied(run: Callable[[Iterable], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterable], Iterator]:
+    """``run``, which maps a partition's batches; at its end caches are dropped and memory is given back.
+
+    Python workers outlive their tasks, so what one stage leaves behind would add to the next.
+    """
+
+    def tidy(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return tidy
+
+
+def give_back() -> None:
+    """Return memory that this process's allocators hold unused."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

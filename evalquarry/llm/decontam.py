@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalquarry.llm.common import table, text_of
-from evalquarry.llm.line_dedup import mix
+from evalquarry.llm.hashing import mix
 
 WINDOW = 8
 LITERALS = 4

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evalquarry.llm.common import materialise, table, text_of
+from evalquarry.llm.hashing import mix
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -27,14 +28,6 @@ STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def mix(h: np.ndarray, level: int) -> np.ndarray:
-    """A 64-bit finaliser seeded by the level."""
-    h = h ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: one bit array per collision level."""
 

@@ -76,21 +76,59 @@ def figures(df):
     return [tuple(x)[1:] for x in sorted(r, key=lambda x: x.doc_id)]
 
 
+def passages_by_hand(texts, least=suffix_dedup.LEAST):
+    data, seen = [(t or "").encode() for t in texts], Counter()
+    for d in data:
+        seen.update(d[p : p + least] for p in range(len(d) - least + 1))
+    out = []
+    for d in data:
+        hit = np.zeros(len(d), bool)
+        for p in range(len(d) - least + 1):
+            if seen[d[p : p + least]] > 1:
+                hit[p : p + least] = True
+        out.append([(s, e + 1) for s, e in suffix_dedup.runs(np.flatnonzero(hit)) if len(d[s : e + 1].split()) >= 50])
+    return out
+
+
+def passages(df):
+    rows = sorted(df.select("doc.doc_id", "passages").collect(), key=lambda r: r.doc_id)
+    return [[(x.start, x.end) for x in r.passages] for r in rows]
+
+
 def test_suffix_dedup_against_brute_force(spark):
-    passage, other = prose(120), prose(90)
+    passage, other, short = prose(120), prose(90), " ".join(w[:4] for w in prose(52).split())
     texts = [*ODD[:6], prose(300), f"{prose(40)} {passage} {prose(40)}", f"{prose(10)} {passage}", passage, prose(20) + passage[100:560] + prose(20), other + " " + other, "ab" * 500, "é" * 400, passage[:399], passage[:400], prose(300) + "x" * 900]
-    texts += [texts[6], prose(30) + " " + passage[: len(passage) // 2 + 60], passage[len(passage) // 2 - 160 :] + " z"]
+    texts += [texts[6], prose(30) + " " + passage[: len(passage) // 2 + 60], passage[len(passage) // 2 - 160 :] + " z", f"{prose(30)} {short} {prose(30)}", f"{short} {prose(9)}", passage[:256], passage[1:256]]
     for k in range(40):
         texts.append(passage[:430] + prose(k + 3))
-    assert figures(suffix_dedup.remove_repeats(docs(spark, texts, start=1, bytes="b"))) == suffix_dedup.brute_force(texts)
+    done = suffix_dedup.remove_repeats(docs(spark, texts, start=1, bytes="b")).cache()
+    assert figures(done) == suffix_dedup.brute_force(texts) and passages(done) == passages_by_hand(texts)
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_a_text_of_several_segments(spark):
+    shared, long = prose(200), prose(9000)
+    text = "".join([long, " ".join(RNG.choice(WORDS) + str(k) for k in range(30_000))])
+    cut = suffix_dedup.SEGMENT - 500
+    texts = [text[:cut] + shared + text[cut:], f"{prose(9)} {shared} {prose(9)}", long]
+    assert len(texts[0]) > suffix_dedup.SEGMENT
+    done = suffix_dedup.remove_repeats(docs(spark, texts)).cache()
+    assert figures(done) == suffix_dedup.brute_force(texts) and passages(done) == passages_by_hand(texts)
+
+
+def test_suffix_dedup_of_repeated_rows(spark):
+    text, other = prose(150), prose(150)
+    df = spark.createDataFrame([(1, text), (1, text), (None, other), (None, other), (2, prose(150)), (2, prose(90))], "doc_id long, text string")
+    got = sorted((r.doc.doc_id or 0, r.n_removed, r.n_bytes) for r in suffix_dedup.remove_repeats(df).collect())
+    assert [r[:2] for r in got] == [(0, len(other)), (0, len(other)), (1, len(text)), (1, len(text)), (2, 0), (2, 0)]
+
+
 def test_suffix_dedup_splits_frequent_prints(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_CONTEXTS", 4)
+    monkeypatch.setattr(suffix_dedup, "PRINT_CONTEXTS", 4)
     passage = prose(100)
     texts = [passage[:395] + RNG.choice("abc") + RNG.choice("de") + prose(60) for _ in range(30)]
-    assert figures(suffix_dedup.remove_repeats(docs(spark, texts))) == suffix_dedup.brute_force(texts)
+    done = suffix_dedup.remove_repeats(docs(spark, texts)).cache()
+    assert figures(done) == suffix_dedup.brute_force(texts) and passages(done) == passages_by_hand(texts)
 
 
 def test_deep_shallow_order():
