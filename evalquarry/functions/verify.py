@@ -3,73 +3,37 @@
 from __future__ import annotations
 
 import ast
-import operator
 import re
 import subprocess
 import sys
 from fractions import Fraction
-from math import isqrt
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG = 100
-_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
-
-
-def _value(node: ast.AST) -> Fraction:
-    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-        return Fraction(str(node.value))
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-        return -_value(node.operand) if isinstance(node.op, ast.USub) else _value(node.operand)
-    if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
-        return _OPS[type(node.op)](_value(node.left), _value(node.right))
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow):
-        power = _value(node.right)
-        if power.denominator == 1 and abs(power) <= 64:
-            return _value(node.left) ** int(power)
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "sqrt" and len(node.args) == 1:
-        x = _value(node.args[0])
-        p, q = isqrt(x.numerator), isqrt(x.denominator)
-        if p * p == x.numerator and q * q == x.denominator:
-            return Fraction(p, q)
-    raise ValueError("not rational arithmetic")
+from evalquarry.functions import algebra
+
+#: Pairs of answers that a worker remembers.
+REMEMBERED = 1 << 14
+_same = lru_cache(REMEMBERED)(algebra.same)
 
 
 def rational(text: str) -> Fraction:
     """Value of an arithmetic expression in infix or simple LaTeX; raises ValueError beyond that."""
-    s = text.strip().strip("$").replace("\\left", "").replace("\\right", "").replace("\\!", "").replace("\\,", "")
-    s = re.sub(r"(?<=\d),(?=\d{3}\b)", "", s).replace("\\times", "*").replace("\\cdot", "*").replace("×", "*").replace("÷", "/").replace("\\div", "/")
-    for _ in range(8):
-        t = re.sub(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"((\1)/(\2))", s)
-        t = re.sub(r"\\sqrt\s*\{([^{}]*)\}", r"sqrt(\1)", t)
-        if t == s:
-            break
-        s = t
-    s = re.sub(r"\\[dt]?frac(\d)(\d)", r"((\1)/(\2))", s).replace("^", "**").replace("{", "(").replace("}", ")")
-    if s.endswith("\\%") or s.endswith("%"):
-        s = "(" + s.rstrip("%").rstrip("\\") + ")/100"
-    s = re.sub(r"\b0+(?=\d)", "", s)
     try:
-        return _value(ast.parse(s.strip(), mode="eval").body)
-    except (SyntaxError, ZeroDivisionError, RecursionError, MemoryError, OverflowError) as e:
+        return algebra.exact(algebra.parsed(text), {})
+    except ZeroDivisionError as e:
         raise ValueError(str(e)) from None
 
 
 def equivalent(a: str | None, b: str | None) -> bool:
-    """MTH1, MTH2: equal as text, else as rational arithmetic where both are; long answers as text alone."""
+    """MTH1, MTH2: equal as text, else as numbers, expressions, tuples, sets, intervals; long answers as text alone."""
     if a is None or b is None:
         return a is None and b is None
-    if a.strip() == b.strip():
-        return True
-    if len(a) > LONG or len(b) > LONG:
-        return False
-    try:
-        return rational(a) == rational(b)
-    except ValueError:
-        return False
+    return a.strip() == b.strip() or (len(a) <= algebra.LONGEST and len(b) <= algebra.LONGEST and _same(a, b))
 
 
 def correct_24(answer: str | None, truth: list[int] | None) -> bool | None:
@@ -260,6 +224,20 @@ def execution_verifier(code: Column, guess: Column, expected: Column, allow: boo
 VERIFIERS = {"math": equivalent_udf, "game_of_24": correct_24_udf, "crux": execution_verifier}
 
 
+def verified_by_task(task: Column, answer: Column, truth: Column, *, numbers: Column | None = None, code: Column | None = None, allow: bool = False) -> Column:
+    """UDF1, ARR4: the verifier that a row's task names.
+
+    ``numbers`` are the given ones of game_of_24, ``code`` the program of crux; a row whose task has
+    no verifier, or lacks its column, is null.
+    """
+    out = F.when(task == "math", equivalent_udf(answer, truth))
+    if numbers is not None:
+        out = out.when(task == "game_of_24", correct_24_udf(answer, numbers))
+    if code is not None:
+        out = out.when(task == "crux", execution_verifier(code, answer, truth, allow))
+    return out
+
+
 def safe_ratio(num: Column, den: Column) -> Column:
     """MTH10: null for a denominator of zero or less."""
     return F.when(den > 0, num.cast("double") / den)

@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, column: str, into: str) -> DataFrame:
-    """JOI1, JOI2: one value per left row; keys that repeat on the right or lack there raise with ten of them."""
-    twice = right.groupBy(key).count().where("count > 1").select(key).limit(10).collect()
-    if twice:
-        raise ValueError(f"keys repeat: {[r[0] for r in twice]}")
-    absent = left.select(key).join(right.select(key), key, "left_anti").distinct().limit(10).collect()
-    if absent:
-        raise ValueError(f"keys missing: {[r[0] for r in absent]}")
-    return left.join(right.select(key, F.col(column).alias(into)), key)
+    """JOI1, JOI2: one value per left row; a key that repeats on the right or lacks there fails the action that reads it.
+
+    One join: the right side is counted by key first, and each joined row checks its count.
+    """
+    one = right.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.first(column).alias(into))
+    joined = left.join(one, key, "left")
+    wrong = F.when(F.col("n_").isNull(), F.raise_error(F.concat(F.lit("key missing: "), F.col(key).cast("string")))).when(F.col("n_") > 1, F.raise_error(F.concat(F.lit("key repeats: "), F.col(key).cast("string"))))
+    return joined.withColumn("n_", F.coalesce(wrong.cast("int"), F.lit(1))).where("n_ = 1").drop("n_")
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str = "inner", suffix: str = "_right") -> DataFrame:
@@ -53,12 +53,40 @@ def uncovered(expected: DataFrame, rows: DataFrame, usable: Column, key: str = "
 
 
 def sweep(values: dict[str, list], spark) -> DataFrame:
-    """JOI20: one row per combination of the (given) values of all symbols, numbered in order."""
-    df = spark.range(1).select()
+    """JOI20: one row per combination of the (given) values of all symbols, numbered in the order of the lists."""
+    df = spark.range(1).select(F.lit(0).alias("point"))
     for name, xs in values.items():
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(x) for x in xs])))
-    order = [F.lit(0)] if not values else [F.col(c) for c in df.columns]
-    return df.withColumn("point", F.row_number().over(W.orderBy(*order)) - 1)
+        df = df.select(*df.columns, F.posexplode(F.array(*[F.lit(x) for x in xs])).alias("at_", name))
+        df = df.withColumn("point", F.col("point") * len(xs) + F.col("at_")).drop("at_")
+    return df.select(*values, "point")
+
+
+def variants(joined: DataFrame, instance: object, *, perturbed: bool | None = None) -> DataFrame:
+    """FIL19: the keys of an instance's variants: (instance_id, trial, perturbation), with or without perturbed ones."""
+    rows = joined.where(F.col("instance_id") == instance)
+    if perturbed is not None:
+        rows = rows.where(F.col("perturbation").isNotNull() if perturbed else F.col("perturbation").isNull())
+    return rows.select("instance_id", "trial", "perturbation").distinct()
+
+
+def rows_for(joined: DataFrame, **key: object) -> DataFrame:
+    """FIL19: the rows whose columns have these values; None asks for null. One value is a prefix lookup, all are a point."""
+    return joined.where(reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(v)) for k, v in key.items()], F.lit(True)))
+
+
+def stats_for(joined: DataFrame, metric: str | None = None, **key: object) -> DataFrame:
+    """FIL19: metric and mean of those rows."""
+    rows = rows_for(joined, **key)
+    return (rows.where(F.col("metric") == metric) if metric else rows).select("metric", "split", "perturbation", "mean")
+
+
+#: The fields of the older form of a row's key, in order.
+LEGACY_KEY = ("run", "instance_id", "trial", "perturbation", "split", "metric", "row_ord")
+
+
+def row_at(joined: DataFrame, key: dict[str, object] | tuple) -> DataFrame:
+    """FIL19: the row of an exact key, as a dictionary or in the older form of seven values."""
+    return rows_for(joined, **(key if isinstance(key, dict) else dict(zip(LEGACY_KEY, key, strict=True))))
 
 
 def requests(historic: DataFrame, reproduced: DataFrame, key: str) -> DataFrame:

@@ -27,19 +27,20 @@ def accuracy(gen: DataFrame) -> DataFrame:
     return gen.groupBy("id").agg(F.avg(F.coalesce("correctness", F.lit(False)).cast("double")).alias("acc"), F.count(F.lit(1)).alias("n"))
 
 
-def macro(gen: DataFrame, name: str) -> DataFrame:
-    return accuracy(gen).agg(F.lit(name).alias("cell"), F.avg("acc").alias("accuracy"), F.count(F.lit(1)).alias("problems"))
-
-
 def conditioning_cells(conditioned: DataFrame, direct: DataFrame, keep: Column) -> DataFrame:
-    """AGG11, FIL7, JOI3: raw and verdict-filtered accuracies, and the direct ones of the same problems."""
-    filtered = conditioned.where(keep)
-    limited = lambda ids: direct.join(ids.select("id").distinct(), "id", "left_semi")
-    cells = [macro(conditioned, "raw"), macro(filtered, "filtered"), macro(limited(conditioned), "direct_raw"), macro(limited(filtered), "direct_filtered")]
-    out = cells[0]
-    for c in cells[1:]:
-        out = out.union(c)
-    return out
+    """AGG11, FIL7, JOI3: raw and verdict-filtered accuracies, and the direct ones of the same problems.
+
+    Both tables are read once and meet in one aggregate per problem.
+    """
+    right = F.coalesce("correctness", F.lit(False)).cast("double")
+    both = conditioned.select("id", right.alias("r"), F.lit("c").alias("side"), F.coalesce(keep, F.lit(False)).alias("kept"))
+    both = both.union(direct.select("id", right, F.lit("d"), F.lit(False)))
+    side, kept = F.col("side"), F.col("kept")
+    of = {"raw": side == "c", "filtered": kept, "direct": side == "d"}
+    per = both.groupBy("id").agg(*[F.avg(F.when(c, F.col("r"))).alias(n) for n, c in of.items()])
+    cells = {"raw": F.col("raw"), "filtered": F.col("filtered"), "direct_raw": F.when(F.col("raw").isNotNull(), F.col("direct")), "direct_filtered": F.when(F.col("filtered").isNotNull(), F.col("direct"))}
+    row = per.agg(*[F.struct(F.lit(n).alias("cell"), F.avg(c).alias("accuracy"), F.count(c).alias("problems")).alias(n) for n, c in cells.items()])
+    return row.select(F.inline(F.array(*cells)))
 
 
 def pass_rates(gen: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,8 +119,11 @@ def phi(cells: DataFrame) -> DataFrame:
 
 
 def matrix(rows: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
-    """AGG18, AGG59: a pivot with null for missing cells; the columns are given, so no pass finds them."""
-    return rows.groupBy(row).pivot(column, columns).agg(F.first(value))
+    """AGG18, AGG59: a pivot with null for missing cells; the columns are given, so no pass finds them.
+
+    A cell has one row; of several the largest value is taken.
+    """
+    return rows.groupBy(row).pivot(column, columns).agg(F.max(value))
 
 
 def cohort_accuracy(gen: DataFrame, cohort: DataFrame) -> DataFrame:

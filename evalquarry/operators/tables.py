@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalquarry.session import written
+
 
 def dcol(name: str) -> Column:
     """A column whose name has dots."""
@@ -55,6 +57,11 @@ def suffix_columns(df: DataFrame, suffix: str) -> DataFrame:
     return df.select([dcol(c) for c in df.columns if c == suffix or c.endswith("." + suffix)])
 
 
+def safe_drop(df: DataFrame, labels: list[str]) -> DataFrame:
+    """FLT10: without the columns of these names; names that are not there are ignored."""
+    return df.select([dcol(c) for c in df.columns if c not in labels])
+
+
 def reorder(df: DataFrame, head: list[str] = (), tail: list[str] = (), missing: str = "error", fill=None) -> DataFrame:
     """FLT11: given columns first and last; absent ones raise, go, or are filled."""
     absent = [c for c in (*head, *tail) if c not in df.columns]
@@ -102,7 +109,8 @@ def numbered(df: DataFrame, order: list[str], into: str = "predict_id") -> DataF
     Rows are range-sorted; each partition's offset is the count of the partitions before it.
     """
     key = [dcol(c) for c in order]
-    placed = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("m_", F.monotonically_increasing_id())
+    # Written once: rows and offsets have to see the same partitions.
+    placed = written(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("m_", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("p_", F.shiftright("m_", 33)).withColumn("i_", F.col("m_").bitwiseAND((1 << 33) - 1))
     counts = placed.groupBy("p_").agg(F.count(F.lit(1)).alias("c_"))
     offsets = counts.select("p_", (F.sum("c_").over(W.orderBy("p_")) - F.col("c_")).alias("o_"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "evalquarry", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -23,3 +26,24 @@ def get_session(app: str = "evalquarry", cpus: int | str = "*", memory: str = "8
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a local run makes a temporary folder once and sets it; a cluster raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="evalquarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalquarry import schemas
@@ -65,24 +65,44 @@ def read_globbed(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json([p for p, _, _ in hadoop_list(spark, pattern)]).withColumn("file", F.input_file_name())
 
 
-def read_arrow_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC5: an Arrow dataset folder on a local path, streamed into Spark batch by batch."""
-    import glob
+def arrow_batches(raw: bytes):
+    """The record batches of an Arrow file or stream held in memory."""
+    import pyarrow as pa
+
+    reader = pa.ipc.open_file(raw) if raw[:6] == b"ARROW1" else None
+    if reader is None:
+        yield from pa.ipc.open_stream(raw)
+    else:
+        yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
 
+
+def read_arrow_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC5: an Arrow dataset folder of any Hadoop store; each file is read by a task, the first for its schema too."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-    files = sorted(glob.glob(f"{folder}/*.arrow"))
+    files = [p for p, _, d in hadoop_list(spark, f"{folder}/*.arrow") if not d]
     if not files:
         raise FileNotFoundError(f"no .arrow files in {folder}")
-    out = None
-    for f in files:
-        try:
-            t = pa.ipc.open_stream(f).read_all()
-        except pa.ArrowInvalid:
-            t = pa.ipc.open_file(f).read_all()
-        part = spark.createDataFrame(t)
-        out = part if out is None else out.unionByName(part)
-    return out
+    content = spark.read.format("binaryFile")
+
+    def schema_of(batches):
+        for b in batches:
+            for raw in b.column("content"):
+                data = raw.as_py()
+                found = (pa.ipc.open_file(data) if data[:6] == b"ARROW1" else pa.ipc.open_stream(data)).schema
+                yield pa.RecordBatch.from_pydict({"s": [found.remove_metadata().serialize().to_pybytes()]})
+
+    (first,) = content.load(files[0]).select("content").mapInArrow(schema_of, "s binary").first()
+    kind = pa.ipc.read_schema(pa.py_buffer(bytes(first)))
+
+    def rows_of(batches):
+        for b in batches:
+            for raw in b.column("content"):
+                for part in arrow_batches(raw.as_py()):
+                    yield pa.RecordBatch.from_arrays([part.column(n).cast(kind.field(n).type) for n in kind.names], schema=kind)
+
+    return content.load(files).select("content").mapInArrow(rows_of, from_arrow_schema(kind))
 
 
 def _nested(answers: DataFrame, problems: DataFrame, task: str) -> DataFrame:
@@ -128,16 +148,22 @@ def split_ids(spark: SparkSession, split: str, root: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "array<string>")).alias("id"))
 
 
+def file_folder() -> Column:
+    """The name of the folder of a row's file, as it was written."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def results(spark: SparkSession, root: str) -> DataFrame:
     """SRC26: every results.json below a root, its fields beside the name of its folder."""
     raw = spark.read.schema(schemas.RESULT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "results.json").json(root)
-    return raw.withColumn("key", F.element_at(F.split(F.input_file_name(), "/"), -2)).select("key", "result.*")
+    return raw.withColumn("key", file_folder()).select("key", "result.*")
 
 
 def verdicts(spark: SparkSession, root: str) -> DataFrame:
     """SRC27."""
     raw = spark.read.schema(schemas.VERDICT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "verdict.json").json(root)
-    return raw.withColumn("exec_hash", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return raw.withColumn("exec_hash", file_folder())
 
 
 def latest(spark: SparkSession, folder: str, pattern: str, exclude: str | None = None) -> str | None:

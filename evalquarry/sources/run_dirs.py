@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalquarry import schemas
 from evalquarry.operators.tables import flatten, flatten_exploded
-from evalquarry.sources.records import children, hadoop_list
+from evalquarry.sources.records import children, file_folder, hadoop_list
 
 REQUIRED = ("run_spec.json", "scenario_state.json", "stats.json")
 DOCUMENTS = {"run_spec": schemas.RUN_SPEC, "stats": f"name {schemas.STAT_NAME}, " + schemas.STAT_NUMBERS, "per_instance_stats": schemas.PER_INSTANCE, "scenario_state": schemas.SCENARIO_STATE}
@@ -48,7 +49,7 @@ def run_spec_names(spark: SparkSession, root: str, suite: str) -> list[str]:
 def read_document(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
     """SRC16 to SRC18: one document kind of many runs in one typed read, with the run's name."""
     raw = spark.read.schema(DOCUMENTS[name]).option("multiLine", True).json([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) + f"/{name}.json" for p in paths])
-    return raw.withColumn("run_spec.name", F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -2)))
+    return raw.withColumn("run_spec.name", file_folder())
 
 
 def stats_table(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -105,6 +106,26 @@ def missing_runs(spark: SparkSession, remote: list[str], local: list[str]) -> li
     return [p for p in remote if p.rsplit("/", 1)[1] not in have]
 
 
+def download(spark: SparkSession, remote: list[str], target: str) -> list[str]:
+    """SRC21: copy runs that a folder lacks into it, between any two Hadoop stores; the runs that were copied.
+
+    A run is copied under another name and then renamed, so a broken copy never counts as present.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    here = path(target).getFileSystem(conf)
+    here.mkdirs(path(target))
+    copied = missing_runs(spark, remote, [p for p, d in children(spark, target) if d])
+    for run in copied:
+        name = run.rsplit("/", 1)[1]
+        part = path(f"{target}/.part-{hashlib.md5(name.encode()).hexdigest()}")
+        here.delete(part, True)
+        source = path(run)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, here, part, False, conf)
+        here.rename(part, path(f"{target}/{name}"))
+    return copied
+
+
 def filter_runs(paths: list[str], patterns: list[str]) -> list[str]:
     """FIL12: globs, or regular expressions after ``regex:``."""
     fits = lambda n, p: bool(re.search(p[6:], n)) if p.startswith("regex:") else fnmatch.fnmatchcase(n, p)

@@ -49,6 +49,12 @@ def generated(rows: DataFrame, generate: Callable[[str, int], str], n: int, base
     return rows.mapInPandas(run, f"{kinds}, gens array<struct<response_id:bigint,generated_response:string,finish_reason:string>>")
 
 
+def ask(spark: SparkSession, prompt: str, generate: Callable[[str, int], str], seed: int = 0) -> str | None:
+    """UDF7: one prompt to a model; null if the request fails."""
+    row = generated(spark.createDataFrame([(prompt,)], "prompt string"), generate, 1, seed).first()
+    return row.gens[0].generated_response if row.gens else None
+
+
 def verified(rows: DataFrame, answer: str = "answer", response: str = "response") -> DataFrame:
     """STM3, STM4: extracted answer and correctness; null where nothing was extracted."""
     out = rows.withColumn("extracted", X.boxed_answer(F.col(response)))

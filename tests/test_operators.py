@@ -60,10 +60,11 @@ def test_records(spark):
 
 def test_lookup_errors(spark):
     left, twice = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
-    with pytest.raises(ValueError, match="repeat"):
-        joins.lookup(left, twice, "id", "v", "w")
-    with pytest.raises(ValueError, match="missing"):
-        joins.lookup(left, twice.where("v = 'a'"), "id", "v", "w")
+    with pytest.raises(Exception, match="key repeats: 1"):
+        joins.lookup(left, twice, "id", "v", "w").collect()
+    with pytest.raises(Exception, match="key missing: 2"):
+        joins.lookup(left, twice.where("v = 'a'"), "id", "v", "w").collect()
+    assert [tuple(r) for r in joins.lookup(left, twice.where("v <> 'b'"), "id", "v", "w").orderBy("id").collect()] == [(1, "a"), (2, "c")]
 
 
 def test_null_meets_null(spark):
