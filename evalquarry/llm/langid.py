@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import table
+from evalquarry.llm.common import packed, table, tidied
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -27,7 +28,7 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 400, 240
 EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 4
 BATCH_WINDOWS = 256
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]").search
+_word = re.compile(r"[^\W\d_]+").finditer
 
 
 @dataclass
@@ -117,6 +118,11 @@ def adam(weights: list[np.ndarray], rate: float):
     return step
 
 
+def lettered(text: str) -> bool:
+    """Whether the text has a letter; ½ and ² are word characters, but none."""
+    return any(any(map(str.isalpha, m[0])) for m in _word(text))
+
+
 def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Windows of a text and their bytes."""
     b = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
@@ -132,7 +138,7 @@ def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(samples: list[tuple[str, str]], *, epochs: int = EPOCHS, seed: int = SEED) -> ByteNet | None:
     """A network from (text, language) pairs; None if there are none."""
     langs = sorted({lang for _, lang in samples})
-    parts = [(cut(t)[0], langs.index(lang)) for t, lang in samples if _letter(t)]
+    parts = [(cut(t)[0], langs.index(lang)) for t, lang in samples if lettered(t)]
     if not parts:
         return None
     x = np.concatenate([w for w, _ in parts])
@@ -154,21 +160,31 @@ def sample(docs: DataFrame, *, id: str, text: str, label: str, usable: Column) -
     counts = rows.groupBy(rows[label].alias("l")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "l").collect()
     if not counts:
         return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, SAMPLE_TEXTS / r["c"])))])
-    draw = F.pmod(F.xxhash64(rows[id], rows[text]), F.lit(1 << 20)) < share[rows[label]] * F.lit(float(1 << 20))
+    # Rows are thinned by a hash and then the first by that hash are taken, so that a sample is the same every time.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, 2 * SAMPLE_TEXTS / r["c"])))])
+    rank = F.xxhash64(rows[id], rows[text])
+    draw = F.pmod(rank, F.lit(1 << 20)) < share[rows[label]] * F.lit(float(1 << 20))
     n, c = F.length(rows[text]), SAMPLE_CHARS
     places = [F.substring(rows[text], F.greatest(F.lit(1), p.cast("int")), F.lit(c)) for p in (F.lit(1), n / 2 - c / 2, n - c)]
-    drawn = rows.where(draw).select(F.array_distinct(F.array(*places)).alias("t"), rows[label].alias("l")).limit(2 * SAMPLE_TEXTS * len(counts)).collect()
-    return [(t, r["l"]) for r in sorted(drawn, key=lambda r: (r["l"], r["t"])) for t in r["t"]]
+    drawn = rows.where(draw).select(F.array_distinct(F.array(*places)).alias("t"), rows[label].alias("l"), F.pmod(rank, F.lit(1 << 20)).alias("r"), rank.alias("h")).distinct()
+    first = W.partitionBy("l").orderBy("r", "h", "t")
+    held = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS).collect()
+    return [(t, r["l"]) for r in sorted(held, key=lambda r: (r["l"], r["t"])) for t in r["t"]]
 
 
-def predict(docs: DataFrame, net: ByteNet | None, *, text: str = "text") -> DataFrame:
-    """(doc struct of all columns, lang_pred, score): ``und`` and 0 for null texts and those without a letter."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("t"))
+def predict(docs: DataFrame, net: ByteNet | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc struct of all columns or of ``keep``, lang_pred, score) per row.
+
+    ``und`` and 0 for null and empty texts and those without a letter, and for all if there is no
+    network. Languages of equal probability: the first by name. Every row is predicted for itself,
+    so repeated rows get equal results and an empty table an empty one; a text of any length is
+    read whole, in groups of windows; other columns may have any name.
+    """
+    rows, texts_of = packed(docs, text, keep)
 
     def run(batches):
         for b in batches:
-            texts = [t if t is not None and net and _letter(t) else None for t in b.column("t").to_pylist()]
+            texts = [t if t is not None and net and lettered(t) else None for t in texts_of(b)]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             group, held = [], 0
             for k, t in enumerate(texts):
@@ -186,7 +202,7 @@ def predict(docs: DataFrame, net: ByteNet | None, *, text: str = "text") -> Data
                     group, held = [], 0
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(langs), pa.array(scores)], names=["doc", "lang_pred", "score"])
 
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(id: Column) -> Column:
@@ -194,12 +210,16 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """``predict`` with a network trained on the rows of ``docs`` that are not held out."""
-    return predict(docs, train(sample(docs, id=id, text=text, label=label, usable=~held_out(docs[id]))), text=text)
+def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``predict`` with a network trained on the rows of ``docs`` that are not held out.
+
+    Rows without a label or a text teach nothing; without any labelled row all are ``und``. Repeated
+    rows count once.
+    """
+    return predict(docs, train(sample(docs, id=id, text=text, label=label, usable=~held_out(docs[id]))), text=text, keep=keep)
 
 
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents."""
-    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     return found.select(F.col("doc.doc_id").alias("doc_id"), held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")

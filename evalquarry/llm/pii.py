@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import table, text_of
+from evalquarry.llm.common import packed, portions, table, tidied
 from evalquarry.llm.langid import adam
 
 KINDS = ("email", "ip", "card", "phone")
@@ -406,35 +406,30 @@ def find_spans(text: str, tags: np.ndarray) -> tuple[list, list]:
     return base, sorted(base + more)
 
 
-def detect(docs: DataFrame, *, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
-    """(doc struct of all columns, base string, spans string): ``kind:start:end``, comma-joined.
+def detect(docs: DataFrame, *, text: str = "text", tagger: Tagger | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(doc struct of all columns or of ``keep``, base string, spans string): ``kind:start:end``, comma-joined.
 
     Null and empty texts have no spans. Offsets count code points, ends are exclusive.
     """
     net = tagger or default_tagger()
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text_of(docs[text]).alias("t"))
+    rows, texts_of = packed(docs, text, keep)
 
     def run(batches):
         for b in batches:
-            texts = b.column("t").to_pylist()
-            base, every, k = [], [], 0
-            while k < len(texts):
-                n, size = k, 0
-                while n < len(texts) and (n == k or size + len(texts[n]) < GROUP * WINDOW):
-                    size += len(texts[n])
-                    n += 1
-                for t, tags in zip(texts[k:n], tag_texts(net, texts[k:n])):
+            texts = [t or "" for t in texts_of(b)]
+            base, every = [], []
+            for lo, hi in portions(texts, GROUP * WINDOW):
+                for t, tags in zip(texts[lo:hi], tag_texts(net, texts[lo:hi])):
                     x, y = find_spans(t, tags)
                     base.append(joined(x))
                     every.append(joined(y))
-                k = n
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(base, pa.string()), pa.array(every, pa.string())], names=["doc", "base", "spans"])
 
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, base string, spans string")
+    return rows.mapInArrow(tidied(run), f"doc {rows.schema['doc'].dataType.simpleString()}, base string, spans string")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     n = [F.regexp_count("base", F.lit(rf"{k}:")).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(F.col("doc.doc_id").alias("doc_id"), *n, F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import table, text_of
+from evalquarry.llm.common import packed, portions, table, tidied
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
 SHORT = 48
 NEVER = float("inf")
-CACHE_CHUNKS = 700_000
+#: Chunks that a worker remembers while it works on a partition (about 200 bytes each), and their length.
+CACHE_CHUNKS = 400_000
 CACHED_CHARS = 64
 
 
@@ -45,7 +46,10 @@ class PieceModel:
         self.unknown = sp.unk_id()
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.chunks = re.compile(self.cuts([p for p in self.id_of if len(p) > 1])).findall
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        #: Comma-joined ids of chunks, and the decoded text of those that don't decode to themselves.
+        self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     @staticmethod
     def cuts(longer: list[str]) -> str:
@@ -115,16 +119,19 @@ class PieceModel:
         """Identity normalisation with a dummy prefix; empty text has no symbols."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def forget(self) -> None:
+        self.cache, self.older, self.odd = {}, {}, {}
+
     def encode_batch(self, texts: list[str], *, check: bool = True) -> list[tuple[int, str, str]]:
         """Number of ids, comma-joined ids and the decoded text of each text, through the chunk cache.
 
         Byte runs never cross a chunk, so the decoded chunks join to the decoded text.
         """
-        cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        fresh: dict[str, tuple[int, str, str]] = {}
-        out = []
+        if len(self.cache) > CACHE_CHUNKS // 2:  # what is not met again while the next half fills goes
+            self.cache, self.older = {}, self.cache
+        if len(self.odd) > CACHE_CHUNKS // 8:
+            self.forget()
+        cache, older, fresh, out = self.cache, self.older, {}, []
         for text in texts:
             chunks = self.chunks(self.normalise(text))
             got = list(map(cache.get, chunks))
@@ -132,33 +139,35 @@ class PieceModel:
                 for k, v in enumerate(got):
                     if v is None:
                         c = chunks[k]
-                        if (v := fresh.get(c)) is None:
+                        if (v := older.get(c)) is not None:
+                            cache[c] = v
+                        elif (v := fresh.get(c)) is None:
                             ids = self.merge(c)
-                            v = fresh[c] = (len(ids), ",".join(map(str, ids)), self.decode(ids, first=False))
+                            v = fresh[c] = ",".join(map(str, ids))
+                            if (back := self.decode(ids, first=False)) != c.replace(SPACE, " "):
+                                self.odd[c] = back
                         got[k] = v
-            if not got:
-                out.append((0, "", ""))
-                continue
-            counts, joined, back = zip(*got)
-            out.append((sum(counts), ",".join(joined), "".join(back).removeprefix(" ")))
+            joined = ",".join(got)
+            back = "".join([self.odd.get(c, c) for c in chunks] if self.odd else chunks)
+            out.append((joined.count(",") + 1 if joined else 0, joined, back.replace(SPACE, " ").removeprefix(" ")))
         if check and fresh:
             self.check(fresh)
         cache.update((c, v) for c, v in fresh.items() if len(c) <= CACHED_CHARS)
         return out
 
-    def check(self, fresh: dict[str, tuple[int, str, str]]) -> None:
+    def check(self, fresh: dict[str, str]) -> None:
         """Compare chunks with the library, whose own dummy prefix stands for a leading mark.
 
         A chunk without a leading mark is led by a line feed there, which ends every merge.
         """
         marked = [c for c in fresh if c[0] == SPACE]
         for c, ids in zip(marked, self.library.encode([c[1:].replace(SPACE, " ") or "" for c in marked])):
-            if len(c) > 1 and ",".join(map(str, ids)) != fresh[c][1]:
+            if len(c) > 1 and ",".join(map(str, ids)) != fresh[c]:
                 raise ValueError(f"agenda and library differ on {c[:80]!r}")
         bare = [c for c in fresh if c[0] != SPACE]
         head = len(self.library.encode("\n"))
         for c, ids in zip(bare, self.library.encode(["\n" + c for c in bare])):
-            if ",".join(map(str, ids[head:])) != fresh[c][1]:
+            if ",".join(map(str, ids[head:])) != fresh[c]:
                 raise ValueError(f"agenda and library differ on {c[:80]!r}")
 
     def decode(self, ids: list[int], *, first: bool = True) -> str:
@@ -197,30 +206,29 @@ def model_at(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def encode_documents(docs: DataFrame, *, text: str = "text", model: str = MODEL, check: bool = True) -> DataFrame:
-    """The columns of ``docs`` in struct ``doc``, with ``n_tokens``, ``ids`` (comma-joined) and ``decoded``.
+def encode_documents(docs: DataFrame, *, text: str = "text", model: str = MODEL, check: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those of ``keep``) in struct ``doc``, with ``n_tokens``, ``ids`` (comma-joined) and ``decoded``.
 
     Null text counts as empty: no ids and an empty decoded text. Rows are independent, so ties,
     repeated rows and an empty table need no rule; extra columns are carried as they are.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text_of(docs[text]).alias("t"))
+    rows, texts_of = packed(docs, text, keep)
 
     def run(batches):
         m = model_at(model)
         for b in batches:
-            texts = b.column("t").to_pylist()
-            found = m.encode_batch(texts, check=check)
+            texts = [t or "" for t in texts_of(b)]
+            found = [x for lo, hi in portions(texts) for x in m.encode_batch(texts[lo:hi], check=check)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc"), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))],
                 names=["doc", "n_tokens", "ids", "decoded"],
             )
 
-    schema = f"doc {packed.schema['doc'].dataType.simpleString()}, n_tokens long, ids string, decoded string"
-    return packed.mapInArrow(run, schema)
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, n_tokens long, ids string, decoded string"
+    return rows.mapInArrow(tidied(run, lambda: model_at(model).forget()), schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     """Every whole text of documents as piece ids and back; digests of both."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = encode_documents(docs, model=model)
+    done = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model=model, keep=["doc_id"])
     return done.select(F.col("doc.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -233,8 +233,7 @@ def hashed_strings(batches, length: int, least: int):
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(p), long)), pa.array(back), *(pa.array(x) for x in h)], names=[*own.schema.names, "long", "x", "h", "g"])
 
 
-def unzipped(z: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(z)
+unzipped = zstandard.ZstdDecompressor().decompress
 
 
 def repeated_starts(rows: DataFrame, texts: DataFrame, *, length: int, least: int, window: int) -> DataFrame:
