@@ -31,7 +31,7 @@ _DOWN = [powers(pow(b, -1, 1 << 64), BLOCK) for b in _BASES]
 
 
 class Substrings:
-    """Hashes of substrings of a buffer; ``which`` chooses one of two independent functions."""
+    """Hashes of substrings of a buffer of bytes, or of numbers that are hashes themselves; ``which`` chooses one of two functions."""
 
     def __init__(self, b: np.ndarray, which: int = 0) -> None:
         self.which, base = which, _BASES[which]
@@ -40,7 +40,7 @@ class Substrings:
         factors = powers(pow(base, BLOCK, 1 << 64), blocks)
         for k in range(blocks):
             at = k * BLOCK
-            part = _TABLES[which][b[at : at + BLOCK]]
+            part = _TABLES[which][b[at : at + BLOCK]] if b.dtype == np.uint8 else b[at : at + BLOCK].copy()
             part *= _UP[which][: len(part)]
             part *= factors[k]
             np.cumsum(part, out=self.sums[at + 1 : at + 1 + len(part)])
