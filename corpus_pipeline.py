@@ -52,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, copied or re-parameterised, go."""
     packed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), "text")
-    found = leaks(packed, table(spark, sf_dir, "benchmark"))
+    found = leaks(packed, table(spark, sf_dir, "benchmark"), keep=["doc_id", "th"])
     gone = found.select(F.col("doc.doc_id").alias("g"), F.col("doc.th").alias("h")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g"]) & (F.xxhash64(docs["text"]) == gone["h"]), "left_anti")
 
