@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalquarry.plans import queries_columns, queries_files, queries_generations, queries_nodes, queries_runs, queries_text
+from evalquarry.plans import queries_columns, queries_files, queries_generations, queries_nodes, queries_runs, queries_text, queries_verbs
 from evalquarry.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_columns", "queries_files", "queries_generations", "queries_nodes", "queries_runs", "queries_text"]
+__all__ = ["ORACLES", "QUERIES", "queries_columns", "queries_files", "queries_generations", "queries_nodes", "queries_runs", "queries_text", "queries_verbs"]
