@@ -1,30 +1,37 @@
 """Personal data by fixed patterns and a character-level bidirectional LSTM with CRF transitions.
 
 The patterns give the base spans. The tagger, trained in numpy from labelled spans, reads every
-character of every text in overlapping windows; each window is decoded by Viterbi, each position
-takes its tag from the window in which it lies deepest, and runs of tags across windows become
-spans. A tagger's span is added if it overlaps no base span and passes its kind's exact check, so
-that the tagger adds written-out or loosely written forms that the patterns miss.
+character of every text in overlapping windows, and each window is decoded by Viterbi. The spans of
+all windows are then reconciled over the whole text: those of one kind that overlap are one, and of
+different kinds that overlap the choice with the largest total score stays. A tagger's span is added
+if it overlaps no base span and passes its kind's exact check, so that the tagger adds written-out
+or loosely written forms that the patterns miss. It also finds secrets, keys and tokens that
+programs use, which are reported apart.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import packed, portions, table, tidied
+from evalquarry.llm.common import packed, portions, table, tidied, work_path
 from evalquarry.llm.langid import adam
+from evalquarry.sources.records import hadoop_list
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-WINDOW, MARGIN = 384, 24
-HIDDEN = 8
+WINDOW, MARGIN = 384, 32
+HIDDEN = 12
 GROUP = 1536
-EXAMPLES, LENGTH, EPOCHS, BATCH, RATE, SEED = 1600, 96, 6, 32, 0.02, 10
+EXAMPLES, LENGTH, EPOCHS, BATCH, RATE, SEED = 4000, 112, 7, 64, 0.02, 10
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
 _chain = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+").finditer
@@ -85,6 +92,8 @@ def added_ok(kind: int, s: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(d) <= 19 and luhn(d)
+    if kind == SECRET:
+        return bool(re.fullmatch(r"[A-Za-z0-9+/_.=-]{16,}", s)) and len(d) >= 4 and sum(map(str.isalpha, s)) >= 4
     return 9 <= len(d) <= 15 and bool(re.fullmatch(r"(\+|00|\(?[0-9]{3}\)?[ .-])[\x20().0-9/-]+[0-9]", s)) and bool(re.search(r"[\x20().-]", s))
 
 
@@ -98,7 +107,7 @@ for _k in range(26):
     _CLASS[97 + _k] = _CLASS[65 + _k] = 3 + len(_MARKS) + _k
 _CLASS[48:58] = 29 + len(_MARKS)
 CLASSES = 30 + len(_MARKS)
-TAGS = 1 + len(KINDS)
+TAGS = 2 + len(KINDS)
 
 
 def codes(text: str) -> np.ndarray:
@@ -186,8 +195,8 @@ class Tagger:
         e = np.ascontiguousarray(self.e.T)
         return e[:, : self.h] @ self.states(x, 0) + e[:, self.h :] @ self.states(x, 1) + self.eb[:, None]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi tags (T, n) of codes (T, n)."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi tags (T, n) of codes (T, n), and their emissions."""
         em, tr = self.emissions(x), self.masked_trans()
         steps, _, n = em.shape
         leave, stays, enter = tr[:, 0][:, None], np.diag(tr)[1:, None], tr[0, 1:][:, None]
@@ -214,7 +223,7 @@ class Tagger:
                 tag[t - 1, inside] = np.where(stay[t][k - 1, inside], k, 0)
             if (end := np.flatnonzero(left[t] & (now == 0))).size:
                 tag[t - 1, end] = (scores[t - 1][1:, end] + leave[1:]).argmax(0) + 1
-        return tag
+        return tag, em
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-likelihood of tags y (T, n), in the order of ``weights``."""
@@ -260,59 +269,91 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - m).sum(axis, keepdims=True)) + m).squeeze(axis)
 
 
+# Frequent words of four languages, and syllables of made-up ones.
+FRAMES = {
+    "en": "the of and to in is that for it was on are with they be at one have this from".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al".split(),
+}
+SYLLABLES = "the and re ing tion er de la que en ung ch ver os ción ra ll ent é è ñ ü ma ti on is at of a in to ge lich keit eau ou ai".split()
+LEADS = {
+    0: ["", "", "", "mail ", "e-mail: ", "write to ", "Kontakt: ", "courriel : ", "correo: ", "<", "(", '"', "from "],
+    1: ["", "", "", "ip ", "IP: ", "host ", "server ", "from ", "Adresse ", "[", "("],
+    2: ["", "", "", "card ", "card no. ", "Karte: ", "carte ", "tarjeta ", "visa ", "# "],
+    3: ["", "", "", "tel ", "Tel.: ", "phone: ", "call ", "Telefon ", "tél. ", "llame al ", "fax "],
+    4: ['token = "', 'token="', 'api_key = "', "api-key: ", "secret=", "password: ", 'key = "', "bearer ", "export KEY=", ""],
+}
+
+
 def labelled_spans(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Made-up texts with labelled spans: prose, numbers and junk around personal data in many spellings."""
+    """Made-up texts with labelled spans, without their leads and quotes.
+
+    Prose of four languages and of none, in plain, shouted, tabular and littered writing, with numbers
+    and other things that look like personal data, around personal data and secrets in many spellings.
+    """
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    syllables = "the and re ing tion er de la que en ung ch ver os ción ra ll ent é è ñ ü ma ti on is at of a in to".split()
+    among = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), k))
 
-    def word():
-        w = "".join(pick(syllables) for _ in range(int(r.integers(1, 4))))
-        return w.capitalize() if r.random() < 0.1 else w.upper() if r.random() < 0.03 else w
+    def invented():
+        return "".join(pick(SYLLABLES) for _ in range(int(r.integers(1, 4))))
 
     def junk():
         return pick([
-            lambda: digits(int(r.integers(1, 16))), lambda: f"{digits(1)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}",
-            lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: "$" + digits(3), lambda: f"({digits(4)})", lambda: word() + "!!",
-            lambda: 'token = "' + "".join(pick("0123456789abcdef") for _ in range(24)) + '"', lambda: "https://" + word() + ".example.org/" + word(),
-            lambda: "***", lambda: "|", lambda: f"{word()} at {word()}", lambda: f"{word()} dot {word()}", lambda: "@" + word(), lambda: f"{digits(3)} {digits(3)}",
+            lambda: digits(int(r.integers(1, 16))), lambda: f"{digits(1)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(3)}.{digits(3)}",
+            lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(2)}:{digits(2)}", lambda: "$" + digits(3), lambda: f"({digits(4)})", lambda: invented() + "!!",
+            lambda: f"https://{invented()}.example.org/{invented()}", lambda: "***", lambda: "|", lambda: f"{invented()} at {invented()}", lambda: f"{invented()} dot {invented()}", lambda: f"{invented()} at {invented()}.", lambda: "@" + invented(),
+            lambda: f"{digits(3)} {digits(3)}", lambda: f"{invented()} = {digits(3)}", lambda: f'{invented()} = "{invented()}"', lambda: invented() * 5, lambda: f"page {digits(2)}-{digits(2)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(5)}",
         ])()
 
     def card():
-        d = [int(c) for c in digits(15)]
-        for last in range(10):
-            if luhn("".join(map(str, [*d, last]))):
-                s = "".join(map(str, [*d, last]))
-                return pick([s, " ".join(s[i : i + 4] for i in range(0, 16, 4)), "-".join(s[i : i + 4] for i in range(0, 16, 4)), ".".join(s[i : i + 4] for i in range(0, 16, 4))])
+        head = digits(14) if r.random() < 0.2 else digits(15)
+        whole = next(s for last in range(10) if luhn(s := head + str(last)))
+        four = [whole[i : i + 4] for i in range(0, len(whole), 4)]
+        return pick([whole, " ".join(four), "-".join(four), ".".join(four), "/".join(four), "  ".join(four), "_".join(four)])
 
     def email():
-        user = pick([lambda: pick(["ann", "joe", "mia", "leo"]) + "." + digits(2), lambda: "user" + digits(2), lambda: pick(["j.doe", "k_lee", "info", "ann", "max.p"])])()
-        host, top = pick(["mail", "example", "post", "web", "inbox"]) + pick(["", digits(1)]), pick(["com", "org", "net", "de", "fr"])
-        return pick([f"{user}@{host}.{top}", f"{user}@{host}.example.{top}", f"{user} at {host} dot {top}", f"{user} [at] {host} [dot] {top}", f"{user}(at){host}(dot){top}", f"{user} @ {host}.{top}"])
+        user = pick([lambda: invented() + "." + digits(2), lambda: "user" + digits(2), lambda: pick(["j.doe", "k_lee", "info", "ann", "max.p"]), invented, lambda: f"{invented()}.{invented()}"])()
+        host, top = pick(["mail", "example", "post", "web", "inbox", invented()]) + pick(["", digits(1)]), pick(["com", "org", "net", "de", "fr", "es", "example.com"])
+        at, dot = pick([("@", "."), ("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" @ ", "."), (" AT ", " DOT "), ("[at]", "."), (" (at) ", ".")])
+        return f"{user}{at}{host}{dot}{top}"
 
     def ip():
-        p = [str(int(x)) for x in r.integers(0, 256, 4)]
-        return pick([".", ".", "[.]", " dot ", "(dot)"]).join(p)
+        return pick([".", ".", ".", "[.]", " dot ", "(dot)", " . "]).join(str(int(x)) for x in r.integers(0, 256, 4))
 
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{a} {b} {c}", f"+33.{a}.{b}.{c}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{a} {b} {c}", f"+33.{a}.{b}.{c}", f"+{a[:2]} {b} {c} {a}", f"({a}) {b} {c}", f"0049/{a}/{b}{c}"])
 
-    out = []
+    def secret():
+        k = int(r.integers(20, 44))
+        return pick([lambda: among("0123456789abcdef", k), lambda: among("0123456789ABCDEF", k), lambda: "sk-" + among("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789", k), lambda: "AKIA" + among("ABCDEFGHJKLMNPQRSTUVWXYZ234567", 16), lambda: among("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k) + "="])()
+
+    made, out = (email, ip, card, phone, secret), []
     for _ in range(n):
-        text, spans = "", []
+        text, spans, frame, style = "", [], pick([*FRAMES.values(), SYLLABLES]), r.random()
+        mark, sep = ("!!", " ") if style < 0.08 else (pick(["%%%", "***", "&&&", "$$$"]), " ") if style < 0.14 else ("", " | ") if style < 0.2 else ("", " ")
+        up = 0.08 < style < 0.11 or style < 0.08
         while len(text) < LENGTH:
             x = r.random()
-            if x < 0.12:
-                k = int(r.integers(4))
-                s = (email, ip, card, phone)[k]()
-                if len(text) + len(s) > LENGTH:
+            if x < 0.13:
+                k = int(r.integers(5))
+                lead, s = pick(LEADS[k]), made[k]()
+                if len(text) + len(lead) + len(s) > LENGTH - 2:
                     break
-                spans.append((k, len(text), len(text) + len(s)))
+                tail = lead[-1:] if lead[-1:] == '"' else {"<": ">", "(": ")", "[": "]"}.get(lead[-1:], "")
+                # Letters that a check depends on keep their case.
+                lead, s = (lead.upper(), s.upper() if k != SECRET else s) if up else (lead, s)
+                spans.append((k, len(text) + len(lead), len(text) + len(lead) + len(s)))
+                s = lead + s + tail
+            elif x < 0.85:
+                s = pick(frame) if r.random() < 0.5 else invented()
+                s = s.upper() if up else s.capitalize() if r.random() < 0.1 else s
             else:
-                s = word() if x < 0.85 else junk()
-            text += s + pick([" ", " ", " ", " ", ". ", ", ", "\n", " | ", ") "])
+                s = junk()
+            text += s + mark + (sep if sep != " " else pick([" ", " ", " ", " ", ". ", ", ", "\n", ") "]))
         out.append((text[:LENGTH], spans))
     return out
 
@@ -340,24 +381,83 @@ def train(examples: list[tuple[str, list[tuple[int, int, int]]]], *, epochs: int
     return net
 
 
-_TRAINED: dict[tuple, Tagger] = {}
+_TRAINED: dict[str, Tagger] = {}
 
 
-def default_tagger() -> Tagger:
-    """The tagger of ``labelled_spans``, trained once per driver; it depends on no table."""
-    key = (EXAMPLES, EPOCHS, HIDDEN, SEED)
-    if key not in _TRAINED:
-        _TRAINED[key] = train(labelled_spans())
+def settings() -> str:
+    """A digest of all that the tagger's weights depend on."""
+    examples = hashlib.sha256(json.dumps(labelled_spans(20)).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([EXAMPLES, LENGTH, EPOCHS, BATCH, RATE, SEED, HIDDEN, CLASSES, TAGS, examples]).encode()).hexdigest()[:16]
+
+
+def default_tagger(spark: SparkSession) -> Tagger:
+    """The tagger of ``labelled_spans``; it depends on no table.
+
+    Trained once and kept in the shared folder, where other sessions of the same folder find it.
+    """
+    if (key := settings()) not in _TRAINED:
+        path = f"{work_path(spark, 'x').rsplit('/', 1)[0]}/pii-tagger-{key}"
+        net = Tagger()
+        if hadoop_list(spark, f"{path}/_SUCCESS"):
+            for r in spark.read.parquet(path).collect():
+                net.weights()[r["place"]][...] = np.frombuffer(r["raw"], np.float32).reshape(net.weights()[r["place"]].shape)
+        else:
+            net = train(labelled_spans())
+            spark.createDataFrame([(k, bytearray(w.tobytes())) for k, w in enumerate(net.weights())], "place int, raw binary").coalesce(1).write.mode("overwrite").parquet(path)
+        _TRAINED[key] = net
     return _TRAINED[key]
 
 
-def tag_texts(net: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """Global tags of each text from overlapping windows."""
+def window_spans(tags: np.ndarray, em: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(window, kind number, start, end, score) of the runs of tags (T, n) in all windows."""
+    t = np.ascontiguousarray(tags.T)
+    flat = np.pad(t, ((0, 0), (1, 1)))
+    first = np.argwhere((flat[:, 1:-1] != 0) & (flat[:, 1:-1] != flat[:, :-2]))
+    last = np.argwhere((flat[:, 1:-1] != 0) & (flat[:, 1:-1] != flat[:, 2:]))
+    out = []
+    for (w, a), (_, b) in zip(first.tolist(), last.tolist()):
+        k = int(t[w, a])
+        out.append((w, k - 1, a, b + 1, float((em[a : b + 1, k, w] - em[a : b + 1, 0, w]).sum())))
+    return out
+
+
+def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """(kind number, start, end) of the spans (kind, start, end, score) of all windows of a text.
+
+    Spans of one kind that overlap are parts of one, with the larger score; of what still overlaps,
+    the choice with the largest total score stays, and of equal ones the earlier.
+    """
+    merged: list[list] = []
+    for k, a, b, v in sorted(spans):
+        if merged and merged[-1][0] == k and a < merged[-1][2]:
+            merged[-1][2], merged[-1][3] = max(merged[-1][2], b), max(merged[-1][3], v)
+        else:
+            merged.append([k, a, b, v])
+    merged.sort(key=lambda x: (x[2], x[1]))
+    ends = [x[2] for x in merged]
+    best: list[tuple[float, int]] = [(0.0, -1)]
+    for j, (_, a, _, v) in enumerate(merged):
+        with_it = best[bisect_right(ends, a, 0, j)][0] + max(v, 1e-6)
+        best.append((with_it, j) if with_it > best[-1][0] else (best[-1][0], -1))
+    out, j = [], len(merged)
+    while j > 0:
+        if best[j][1] < 0:
+            j -= 1
+        else:
+            k, a, b, _ = merged[best[j][1]]
+            out.append((k, a, b))
+            j = bisect_right(ends, a, 0, best[j][1])
+    return sorted(out, key=lambda x: x[1])
+
+
+def tag_texts(net: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """The tagger's spans in each text, from overlapping windows."""
     core = WINDOW - 2 * MARGIN
     coded = [codes(t) for t in texts]
     counts = [-(-len(c) // core) for c in coded]
-    total = sum(counts)
-    x = np.zeros((total, WINDOW), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    shift = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * core - MARGIN
+    x = np.zeros((len(owner), WINDOW), np.uint8)
     at = 0
     for c, n in zip(coded, counts):
         padded = np.zeros(n * core + 2 * MARGIN, np.uint8)
@@ -365,29 +465,25 @@ def tag_texts(net: Tagger, texts: list[str]) -> list[np.ndarray]:
         for k in range(n):
             x[at + k] = padded[k * core : k * core + WINDOW]
         at += n
-    tags = np.empty((total, core), np.int8)
-    for k in range(0, total, GROUP):
-        tags[k : k + GROUP] = net.decode(np.ascontiguousarray(x[k : k + GROUP].T)).T[:, MARGIN : MARGIN + core]
-    out, at = [], 0
-    for c, n in zip(coded, counts):
-        out.append(tags[at : at + n].ravel()[: len(c)])
-        at += n
-    return out
-
-
-def tag_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of one kind, without white space and sentence marks at the ends."""
-    hit = np.flatnonzero(tags)
-    if not len(hit):
-        return []
-    cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(tags[hit]) != 0))
+    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    for g in range(0, len(owner), GROUP):
+        for w, k, a, b, v in window_spans(*net.decode(np.ascontiguousarray(x[g : g + GROUP].T))):
+            d, s = int(owner[g + w]), int(shift[g + w])
+            a, b = max(0, a + s), min(len(texts[d]), b + s)
+            if a < b:
+                found[d].append((k, a, b, v))
+    return [trimmed(t, reconciled(f)) if f else [] for t, f in zip(texts, found)]
+
+
+def trimmed(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans without white space, quotes and sentence marks at the ends."""
     out = []
-    for s, e in zip(hit[np.concatenate([[0], cut + 1])].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()):
-        piece = text[s : e + 1]
-        left = len(piece) - len(piece.lstrip(" \t\r\n.,;:|!?)"))
-        right = len(piece.rstrip(" \t\r\n.,;:|!?("))
+    for k, s, e in spans:
+        piece = text[s:e]
+        left = len(piece) - len(piece.lstrip(" \t\r\n.,;:|!?)<>[]\"'*%$&"))
+        right = len(piece.rstrip(" \t\r\n.,;:|!?(<>[]\"'*%$&"))
         if right > left:
-            out.append((int(tags[s]) - 1, s + left, s + right))
+            out.append((k, s + left, s + right))
     return out
 
 
@@ -395,41 +491,46 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def find_spans(text: str, tags: np.ndarray) -> tuple[list, list]:
-    """Base spans and all spans, by kind and start."""
+def find_spans(text: str, tagged: list[tuple[int, int, int]]) -> tuple[list, list, list]:
+    """Base spans, all spans by kind and start, and secrets.
+
+    A tagger's span that overlaps a base span, even in part, gives way to it.
+    """
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
-    more = []
-    for k, s, e in tag_spans(text, tags):
-        if added_ok(k, text[s:e]) and not any(s < f and b < e for b, f in taken):
-            more.append((k, s, e))
-    return base, sorted(base + more)
+    more = [(k, s, e) for k, s, e in tagged if added_ok(k, text[s:e]) and not any(s < f and b < e for b, f in taken)]
+    return base, sorted(base + [x for x in more if x[0] != SECRET]), [x for x in more if x[0] == SECRET]
 
 
 def detect(docs: DataFrame, *, text: str = "text", tagger: Tagger | None = None, keep: list[str] | None = None) -> DataFrame:
-    """(doc struct of all columns or of ``keep``, base string, spans string): ``kind:start:end``, comma-joined.
+    """(doc struct of all columns or of ``keep``, base string, spans string, secrets string) per row.
 
-    Null and empty texts have no spans. Offsets count code points, ends are exclusive.
+    ``base`` and ``spans`` are ``kind:start:end``, comma-joined, by kind and start; ``secrets`` are
+    ``start:end``. Null and empty texts have no spans. Offsets count code points, ends are exclusive.
+    Rows are read for themselves, so repeated rows get equal results and an empty table an empty one;
+    a text of any length is read whole, window by window; other columns may have any name.
     """
-    net = tagger or default_tagger()
+    net = tagger or default_tagger(docs.sparkSession)
     rows, texts_of = packed(docs, text, keep)
 
     def run(batches):
         for b in batches:
             texts = [t or "" for t in texts_of(b)]
-            base, every = [], []
+            base, every, secrets = [], [], []
             for lo, hi in portions(texts, GROUP * WINDOW):
-                for t, tags in zip(texts[lo:hi], tag_texts(net, texts[lo:hi])):
-                    x, y = find_spans(t, tags)
+                for t, tagged in zip(texts[lo:hi], tag_texts(net, texts[lo:hi])):
+                    x, y, z = find_spans(t, tagged)
                     base.append(joined(x))
                     every.append(joined(y))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(base, pa.string()), pa.array(every, pa.string())], names=["doc", "base", "spans"])
+                    secrets.append(",".join(f"{s}:{e}" for _, s, e in z))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(c, pa.string()) for c in (base, every, secrets))], names=["doc", "base", "spans", "secrets"])
 
-    return rows.mapInArrow(tidied(run), f"doc {rows.schema['doc'].dataType.simpleString()}, base string, spans string")
+    return rows.mapInArrow(tidied(run), f"doc {rows.schema['doc'].dataType.simpleString()}, base string, spans string, secrets string")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every whole text of documents."""
+    """Personal data in every whole text of documents; after the contract's columns the number of all spans, and secrets."""
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    many = lambda c: F.regexp_count(c, F.lit(":[0-9]+(,|$)")).cast("long")
     n = [F.regexp_count("base", F.lit(rf"{k}:")).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(F.col("doc.doc_id").alias("doc_id"), *n, F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *n, F.sha2("base", 256).alias("base_sha256"), "spans", many("spans").alias("n_spans"), many("secrets").alias("n_secrets"), "secrets", (many("spans") + many("secrets")).alias("n_private"))
