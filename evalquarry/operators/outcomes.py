@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalquarry.functions.verify import safe_ratio
@@ -69,6 +70,20 @@ def observations(direct: DataFrame, one: DataFrame, mitigated: DataFrame) -> Dat
     return name(mitigated, "mitigated").join(name(one, "one"), ["id", "draft"]).join(name(direct, "direct"), "id")
 
 
+def joint_observations(gen: DataFrame, direct: Column, one: Column, mitigated: Column) -> DataFrame:
+    """JOI4 where all three sides are rows of one table with a ``draft`` key: one aggregate and no join.
+
+    The conditions choose the rows of a side; a row can be of several. If the table comes dealt by
+    problem, nothing is moved again.
+    """
+    rate = lambda c: F.avg(F.when(c, F.col("correctness").cast("double")))
+    right = F.when(direct, F.col("correctness").cast("double"))
+    each = gen.groupBy("id", "draft").agg(rate(one).alias("one"), rate(mitigated).alias("mitigated"), F.sum(right).alias("s_"), F.count(right).alias("n_"))
+    w = W.partitionBy("id")
+    both = each.withColumn("direct", F.sum("s_").over(w) / F.nullif(F.sum("n_").over(w), F.lit(0))).drop("s_", "n_")
+    return both.where("direct IS NOT NULL AND one IS NOT NULL AND mitigated IS NOT NULL").select("id", "draft", "mitigated", "one", "direct")
+
+
 def bucket_counts(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """AGG14: all eight counts as columns, zero where none."""
     g = rows.groupBy(*(keys or []))

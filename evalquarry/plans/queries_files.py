@@ -15,37 +15,6 @@ RECORD = "id long, source string, gens_response_id long, gens_alias string, gens
 FLAT = "id long, response_id long, answer string, correctness boolean"
 
 
-def place(lines: DataFrame, folder: str, names: list[str]) -> str:
-    """Text lines in files of the given names below a folder, which tasks write and the driver renames."""
-    spark = lines.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    part = f"{folder}/.part-{names[0]}"
-    lines.repartition(len(names), F.xxhash64("value")).write.mode("overwrite").option("maxRecordsPerFile", 0).text(part)
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [p for p, _, _ in records.hadoop_list(spark, f"{part}/part-*")]
-    for p, name in zip(found, names):
-        fs.mkdirs(path(f"{folder}/{name}").getParent())
-        fs.rename(path(p), path(f"{folder}/{name}"))
-    fs.delete(path(part), True)
-    return folder
-
-
-def documents(rows: DataFrame, folder: str, name: str) -> str:
-    """One document ``key``/``name`` per row of (key, value)."""
-    spark = rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    part = f"{folder}/.part"
-    rows.select(F.hex(F.col("key").cast("string")).alias("key"), "value").repartition("key").write.mode("overwrite").partitionBy("key").text(part)
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for p, _, _ in records.hadoop_list(spark, f"{part}/key=*"):
-        key = bytes.fromhex(p.rsplit("key=", 1)[1]).decode()
-        fs.mkdirs(path(f"{folder}/{key}"))
-        for f, _, _ in records.hadoop_list(spark, f"{p}/part-*"):
-            fs.rename(path(f), path(f"{folder}/{key}/{name}"))
-    fs.delete(path(part), True)
-    return folder
-
-
 def as_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
@@ -53,7 +22,7 @@ def as_lines(df: DataFrame) -> DataFrame:
 def parts_of_gen(spark: SparkSession, sf: str, n: int = 4) -> str:
     """Generations as JSON lines in n numbered parts."""
     g = gen(spark, sf).select("id", "response_id", "answer", "correctness")
-    return place(as_lines(g), work_path(spark, "parts"), [f"dataset-{i}of{n}.jsonl" for i in range(1, n + 1)])
+    return sinks.write_named(as_lines(g), work_path(spark, "parts"), [f"dataset-{i}of{n}.jsonl" for i in range(1, n + 1)])
 
 
 @query("WITH " + GEN + " SELECT id, source, response_id, alias, finish, answer, correctness FROM gen")
@@ -87,7 +56,7 @@ def torn(spark: SparkSession, sf: str) -> str:
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit("word " * 20).alias("pad"))
     line = F.to_json(F.struct(*o.columns))
     cut = o.select(F.when(F.col("id") % 10 == 0, F.substring(line, F.lit(1), F.length(line) - 30)).otherwise(line).alias("value"))
-    return place(cut, work_path(spark, "torn"), ["completions.jsonl"])
+    return sinks.write_named(cut, work_path(spark, "torn"), ["completions.jsonl"])
 
 
 TORN = "id long, status string, pad string"
@@ -162,7 +131,7 @@ def split_ids(spark, sf):
     name = F.element_at(F.array(F.lit("sft"), F.lit("rl"), F.lit("val")), (F.col("c_custkey") % 3 + 1).cast("int"))
     rows = read(spark, sf, "customer").groupBy(name.alias("key")).agg(F.to_json(F.collect_list(F.col("c_custkey").cast("string"))).alias("value"))
     at = work_path(spark, "splits")
-    documents(rows, at, "ids.json")
+    sinks.write_each(rows, at, "ids.json")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
     for p, d in records.children(spark, at):
@@ -180,7 +149,7 @@ def collected_results(spark, sf):
     right = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0)
     g = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key")).agg(F.round(F.avg(right), 6).alias("acc_clean"), F.lit(None).cast("double").alias("acc_2f"), F.lit(None).cast("double").alias("drag"), F.count(F.lit(1)).alias("n_kept_problems"))
     docs = sinks.metric_row(g).select(F.col("result.key").alias("key"), F.to_json(F.struct("result")).alias("value"))
-    return records.results(spark, documents(docs, work_path(spark, "results"), "results.json")).select("key", "acc_clean", "acc_2f", "drag", "n_kept_problems")
+    return records.results(spark, sinks.write_each(docs, work_path(spark, "results"), "results.json")).select("key", "acc_clean", "acc_2f", "drag", "n_kept_problems")
 
 
 @query(f"SELECT key AS exec_hash, CASE WHEN acc_clean > 0.5 THEN 'VERIFIED' ELSE 'FALSIFIED' END AS status, CAST(n_kept_problems AS VARCHAR) AS n FROM ({_PRIORITY}) t")
@@ -190,7 +159,7 @@ def collected_verdicts(spark, sf):
     g = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key")).agg(F.round(F.avg(right), 6).alias("acc"), F.count(F.lit(1)).alias("n"))
     verdict = F.struct(F.when(F.col("acc") > 0.5, "VERIFIED").otherwise("FALSIFIED").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("symbols"))
     docs = g.select("key", F.to_json(verdict).alias("value"))
-    back = records.verdicts(spark, documents(docs, work_path(spark, "verdicts"), "verdict.json"))
+    back = records.verdicts(spark, sinks.write_each(docs, work_path(spark, "verdicts"), "verdict.json"))
     return back.select("exec_hash", "status", F.col("symbols")["n"].alias("n"))
 
 
@@ -278,7 +247,7 @@ def scenario_instances(spark, sf):
     """SRC24, SRC36: a scenario's instances as one JSON list."""
     b = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("input"), F.array(F.lit("a")).alias("references"), F.lit("test").alias("split"))
     listed = b.agg(F.lit("list").alias("key"), F.to_json(F.collect_list(F.struct(*b.columns))).alias("value"))
-    at = documents(listed, work_path(spark, "instances"), "instances.json")
+    at = sinks.write_each(listed, work_path(spark, "instances"), "instances.json")
     return records.instances(spark, f"{at}/list/instances.json").select("id", "input", "split", F.size("references").alias("n_references"))
 
 

@@ -101,10 +101,9 @@ _BUCKET = """, b AS (SELECT *, CASE WHEN direct >= .5 THEN CASE WHEN one >= .5 T
 
 
 def _observations(spark, sf):
-    direct, one, mit = parts(spark, sf)
-    keyed = lambda g: outcomes.pass_rates(g.withColumn("draft", F.md5(F.coalesce("answer", F.lit("")))), ["id", "draft"]).drop("n")
-    both = mit.select("id", "answer", "correctness").union(one.where("response_id % 2 = 0").select("id", "answer", "correctness"))
-    return outcomes.observations(outcomes.pass_rates(direct, ["id"]).drop("n"), keyed(one), keyed(both))
+    part = F.col("response_id") % 3
+    keyed = gen(spark, sf).withColumn("draft", F.md5(F.coalesce("answer", F.lit(""))))
+    return outcomes.joint_observations(keyed, part == 0, part == 1, (part == 2) | ((part == 1) & (F.col("response_id") % 2 == 0)))
 
 
 @query("WITH " + _RATES + _BUCKET + " SELECT " + ", ".join(f"count_if(bucket = '{b}') AS {b}" for b in outcomes.BUCKETS) + " FROM b")

@@ -10,9 +10,9 @@ from evalquarry.operators.cards import sequestered
 from evalquarry.operators.tables import dcol
 from evalquarry.plans.base import query
 from evalquarry.plans.domain_views import GEN, PARTS, STATS, gen, parts, read, stats
-from evalquarry.plans.queries_files import RUNS, _RUNS, as_lines, place
+from evalquarry.plans.queries_files import RUNS, _RUNS, as_lines
 from evalquarry.session import work_path, written
-from evalquarry.sources import records
+from evalquarry.sources import records, sinks
 from evalquarry.streaming import resume
 
 
@@ -159,7 +159,7 @@ def stream_to_table(spark, sf):
     schema = "id long, response_id long, answer string, response string"
     for n in range(2):
         # The second run finds the same records in other files, and the rest.
-        place(as_lines(rows if n else rows.where("id % 2 = 0")), src, [f"part{n}-{i}.jsonl" for i in range(3)])
+        sinks.write_named(as_lines(rows if n else rows.where("id % 2 = 0")), src, [f"part{n}-{i}.jsonl" for i in range(3)])
         hashed = resume.once(resume.with_hash(resume.record_stream(spark, src, schema), "Q {arg_id} {arg_response_id}"))
         resume.append(resume.verified(hashed), out, check).awaitTermination()
     return spark.read.parquet(out).select("id", "response_id", "correctness")

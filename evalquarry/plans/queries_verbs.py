@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from evalquarry import verbs
 from evalquarry.plans.base import query
 from evalquarry.plans.domain_views import GEN, PARTS, gen, parts, read
-from evalquarry.plans.queries_files import as_lines, documents, place
+from evalquarry.plans.queries_files import as_lines
 from evalquarry.plans.queries_generations import _CURVE, _WINDOWS
 from evalquarry.session import work_path
+from evalquarry.sources import sinks
 from evalquarry.sources.records import children
 
 
@@ -25,7 +26,7 @@ ECHO = f"{__name__}:echo"
 
 def lines(df, name: str = "dataset.jsonl", parts_: int = 1) -> str:
     """JSON lines in a folder of their own."""
-    return place(as_lines(df), work_path(df.sparkSession, "lines"), [name] if parts_ == 1 else [f"dataset-{i}of{parts_}.jsonl" for i in range(1, parts_ + 1)])
+    return sinks.write_named(as_lines(df), work_path(df.sparkSession, "lines"), [name] if parts_ == 1 else [f"dataset-{i}of{parts_}.jsonl" for i in range(1, parts_ + 1)])
 
 
 def packed_records(spark, sf):
@@ -154,7 +155,7 @@ def verb_evaluate(spark, sf):
     """evaluate: a card from a JSON document over a sweep of all nations (CTL1 to CTL4, AGG44, UDF6)."""
     keys = [r[0] for r in read(spark, sf, "nation").select("n_nationkey").collect()]
     card = {"title": "keys", "claim": "twice < 40", "symbols": {"key": {"sweep": keys, "type": "bigint"}, "twice": {"sql": "key * 2", "depends_on": ["key"]}}}
-    at = documents(spark.createDataFrame([("card", json.dumps(card))], "key string, value string"), work_path(spark, "card"), "card.json")
+    at = sinks.write_each(spark.createDataFrame([("card", json.dumps(card))], "key string, value string"), work_path(spark, "card"), "card.json")
     out = verbs.evaluate(spark, path=f"{at}/card/card.json", output=work_path(spark, "verdict"))
     return spark.read.schema("status string, verified long, n long").json(out)
 
@@ -163,7 +164,7 @@ def verb_evaluate(spark, sf):
 def verb_models(spark, sf):
     """The registry of models: filtered, grouped, sorted and printed (SRC23, SRC25, FIL11, FIL17, AGG29, SRT2)."""
     rows = {r[0]: {"org": f"r{r[1]}", "size": r[2]} for r in read(spark, sf, "nation").select("n_name", "n_regionkey", "n_nationkey").collect()}
-    at = documents(spark.createDataFrame([("models", json.dumps(rows))], "key string, value string"), work_path(spark, "models"), "models.json")
+    at = sinks.write_each(spark.createDataFrame([("models", json.dumps(rows))], "key string, value string"), work_path(spark, "models"), "models.json")
     body = verbs.models(spark, registry=f"{at}/models/models.json", query="CAST(size AS INT) > 3", groupby="org", sort="org")
     return spark.createDataFrame([(body,)], "body string")
 
@@ -175,7 +176,7 @@ def verb_materialize_run(spark, sf):
     root = work_path(spark, "precomputed")
     docs = spark.createDataFrame([(n, "{}") for n in names], "key string, value string")
     for name in ("run_spec.json", "scenario_state.json", "stats.json"):
-        documents(docs, f"{root}/benchmark_output/runs/v1", name)
+        sinks.write_each(docs, f"{root}/benchmark_output/runs/v1", name)
     at = verbs.materialize_run(spark, run_entry="b:model=org/m1,lang=en", precomputed_root=root, target=work_path(spark, "local"))
     there = {p.rsplit("/", 1)[1] for p, _ in children(spark, at)} == {"run_spec.json", "scenario_state.json", "stats.json"}
     return spark.createDataFrame([(at.rsplit("/", 1)[1], there)], "best string, there boolean")

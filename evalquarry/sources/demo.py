@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalquarry.sources.records import hadoop_list
+from evalquarry.sources.sinks import write_each
 
 
 def stamp(settings: dict) -> str:
@@ -30,7 +31,7 @@ def run_documents(stats: DataFrame) -> dict[str, DataFrame]:
     listed = stats.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("row_ord", one.alias("s")))).alias("x")).select(run, text(F.transform("x", lambda x: x["s"])))
     per = stats.groupBy("run", "instance_id", "trial").agg(F.array_sort(F.collect_list(F.struct("row_ord", one.alias("s")))).alias("x"))
     per = per.select("run", F.struct(F.col("instance_id").cast("string").alias("instance_id"), F.col("trial").alias("train_trial_index"), F.transform("x", lambda x: x["s"]).alias("stats")).alias("i"))
-    per = per.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("i.instance_id", "i.train_trial_index", "i.stats")), lambda a, b: F.when(F.struct(a["instance_id"], a["train_trial_index"]) < F.struct(b["instance_id"], b["train_trial_index"]), -1).otherwise(1)).alias("x")).select(run, text(F.col("x")))
+    per = per.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("i.instance_id", "i.train_trial_index", "i.stats"))).alias("x")).select(run, text(F.col("x")))
     state = F.struct(F.struct(F.col("instance_id").cast("string").alias("id"), "split", F.struct(F.concat(F.lit("question "), F.col("instance_id").cast("string")).alias("text")).alias("input"), F.when(F.col("perturbation").isNotNull(), F.struct(F.col("perturbation").alias("name"))).alias("perturbation")).alias("instance"), F.col("trial").alias("train_trial_index"), F.struct(F.concat(F.lit("prompt "), F.col("row_ord").cast("string")).alias("prompt")).alias("request"))
     states = stats.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("row_ord", state.alias("s")))).alias("x")).select(run, text(F.struct(F.transform("x", lambda x: x["s"]).alias("request_states"))))
     return {"run_spec": spec, "stats": listed, "per_instance_stats": per, "scenario_state": states}
@@ -53,14 +54,6 @@ def build(stats: DataFrame, root: str, settings: dict | None = None, suite: str
     base = f"{root}/benchmark_output/runs/{suite}"
     fs.mkdirs(path(base))
     for name, docs in run_documents(stats).items():
-        part = f"{root}/.part-{name}"
-        # One file per run: a run's rows share a partition folder, and each has one row.
-        docs.select(F.hex("run").alias("key"), "doc").repartition("key").write.mode("overwrite").partitionBy("key").text(part)
-        for p, _, is_folder in hadoop_list(spark, f"{part}/key=*"):
-            run = bytes.fromhex(p.rsplit("key=", 1)[1]).decode()
-            fs.mkdirs(path(f"{base}/{run}"))
-            for f, _, _ in hadoop_list(spark, f"{p}/part-*"):
-                fs.rename(path(f), path(f"{base}/{run}/{name}.json"))
-        fs.delete(path(part), True)
+        write_each(docs.select(F.col("run").alias("key"), F.col("doc").alias("value")), base, f"{name}.json")
     fs.create(path(mark)).close()
     return root

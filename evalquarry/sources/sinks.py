@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalquarry.sources.records import hadoop_list
+
 
 def write_records(packed: DataFrame, path: str, flatten: str | None = None) -> None:
     """SNK1: JSON lines; ``flatten`` names an array whose elements become rows with prefixed fields."""
@@ -21,6 +23,38 @@ def write_document(row: DataFrame, path: str) -> None:
     row.limit(1).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_named(lines: DataFrame, folder: str, names: list[str]) -> str:
+    """SNK1: lines of text (``value``) in files of given names below a folder; tasks write them, the driver only renames."""
+    path, fs = _store(lines, folder)
+    part = f"{folder}/.part-{names[0]}"
+    lines.repartition(len(names), F.xxhash64("value")).write.mode("overwrite").text(part)
+    for p, name in zip([p for p, _, _ in hadoop_list(lines.sparkSession, f"{part}/part-*")], names):
+        fs.mkdirs(path(f"{folder}/{name}").getParent())
+        fs.rename(path(p), path(f"{folder}/{name}"))
+    fs.delete(path(part), True)
+    return folder
+
+
+def write_each(rows: DataFrame, folder: str, name: str) -> str:
+    """SNK8: one document ``folder``/key/``name`` per row of (key, value); keys are names of runs, cards or models."""
+    path, fs = _store(rows, folder)
+    part = f"{folder}/.part-{name}"
+    rows.select(F.hex(F.col("key").cast("string")).alias("key"), "value").repartition("key").write.mode("overwrite").partitionBy("key").text(part)
+    for p, _, _ in hadoop_list(rows.sparkSession, f"{part}/key=*"):
+        key = bytes.fromhex(p.rsplit("key=", 1)[1]).decode()
+        fs.mkdirs(path(f"{folder}/{key}"))
+        for f, _, _ in hadoop_list(rows.sparkSession, f"{p}/part-*"):
+            fs.rename(path(f), path(f"{folder}/{key}/{name}"))
+    fs.delete(path(part), True)
+    return folder
+
+
+def _store(df: DataFrame, folder: str):
+    """Hadoop's path class and the file system of a folder."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
 def error_document(questions: DataFrame, finish: DataFrame, unparsable: DataFrame, samples: int = 10) -> DataFrame:
     """SNK2: totals, the finish table and the first unparsable samples as one row."""
     f = finish.agg(F.array_sort(F.collect_list(F.struct("finish", "n", "correct", "incorrect", "unparsable"))).alias("finish_reason_correctness"))
@@ -35,8 +69,6 @@ def write_dataset(df: DataFrame, path: str) -> None:
 
 def complete(spark, path: str) -> bool:
     """STM7: whether a dataset's marker is there."""
-    from evalquarry.sources.records import hadoop_list
-
     return bool(hadoop_list(spark, f"{path}/_SUCCESS"))
 
 
