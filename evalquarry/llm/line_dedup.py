@@ -3,24 +3,29 @@
 Every distinct line key is two 64-bit hashes. Keys that reach the document threshold are dealt to
 shards by their first hash; each shard builds a minimal perfect hash (bit arrays of falling
 collision levels with rank counts) over its keys and stores, at a key's index, a fingerprint,
-the document count and the keeping doc_id in plain arrays. Documents send only (shard, hashes,
-line number) to the shards, probe the arrays there, and get back the numbers of the lines to drop.
-A key below the threshold has no index: its fingerprint refuses it.
+the document count and the keeping doc_id in plain arrays. Counts come from an aggregate with
+partial sums, so that a line of a third of all documents is no task's burden. Documents probe the
+arrays and learn the numbers of the lines to drop: where all arrays together are below a bound, every
+worker holds them and no line is moved; beyond it, documents send (shard, hashes, line number) to
+the shards and get back line numbers. A key below the threshold has no index: its fingerprint
+refuses it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import materialise, table, text_of
+from evalquarry.llm.common import materialise, table, text_of, tidied
 from evalquarry.llm.hashing import mix
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 500_000
+#: Bytes of all arrays that each worker holds, at most; more stay in their shards.
+HELD_BYTES = 64 << 20
 #: Probing groups of a shard, at least; more where a group would probe over SHARD_KEYS lines.
 SALTS = 24
 GAMMA = 2
@@ -96,39 +101,63 @@ def build_index(counted: DataFrame, shards: int) -> DataFrame:
 INDEX_COLUMNS = ["shard", "sizes", "bits", "prints", "counts", "keepers", "known"]
 
 
+class Shard:
+    """The arrays of one shard, from a row of the index."""
+
+    def __init__(self, row: dict[str, bytes]) -> None:
+        of = lambda c, t: np.frombuffer(row[c], t)
+        self.hash = PerfectHash(of("sizes", np.int64), of("bits", np.uint64))
+        self.prints, self.counts, self.keepers, self.known = of("prints", np.uint64), of("counts", np.int64), of("keepers", np.int64), of("known", np.bool_)
+
+    def drops(self, a: np.ndarray, b: np.ndarray, own: np.ndarray, has: np.ndarray) -> np.ndarray:
+        """Whether lines with these hashes go from documents with these ids (``has``: not null)."""
+        at = self.hash.index(a ^ mix(b, 63))
+        ok = at >= 0
+        at[~ok] = 0
+        ok &= (self.prints[at] == b) & (self.counts[at] >= MIN_DOCS)
+        return ok & ~((has & self.known[at] & (self.keepers[at] == own)) | (~has & ~self.known[at]))
+
+
 def probe(lines: pa.Table, index: pa.Table) -> pa.Table:
     """The rows of ``lines`` that are to be dropped, looked up in one shard's arrays."""
     if not index.num_rows or not lines.num_rows:
         return lines.slice(0, 0).select(["doc", "th", "i"])
-    raw = {c: index.column(c)[0].as_buffer() for c in INDEX_COLUMNS[1:]}
-    h = PerfectHash(np.frombuffer(raw["sizes"], np.int64), np.frombuffer(raw["bits"], np.uint64))
-    prints, counts, keepers, known = (np.frombuffer(raw[c], t) for c, t in (("prints", np.uint64), ("counts", np.int64), ("keepers", np.int64), ("known", np.bool_)))
     a, b = (lines.column(c).to_numpy().view(np.uint64) for c in "ab")
-    at = h.index(a ^ mix(b, 63))
-    ok = at >= 0
-    at[~ok] = 0
-    ok &= (prints[at] == b) & (counts[at] >= MIN_DOCS)
     doc = lines.column("doc")
-    own = doc.fill_null(0).to_numpy()
-    has = doc.is_valid().to_numpy()
-    keeps = (has & known[at] & (keepers[at] == own)) | (~has & ~known[at])
-    return lines.select(["doc", "th", "i"]).filter(pa.array(ok & ~keeps))
+    gone = Shard({c: index.column(c)[0].as_py() for c in INDEX_COLUMNS[1:]}).drops(a, b, doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy())
+    return lines.select(["doc", "th", "i"]).filter(pa.array(gone))
+
+
+def probe_batch(batch: pa.RecordBatch, shards: list[Shard | None]) -> pa.Array:
+    """For each document of a batch the numbers of its lines to drop, looked up in all arrays."""
+    keys = batch.column("keys")
+    offsets = keys.offsets.to_numpy().astype(np.int64)
+    flat = keys.flatten()
+    i, a, b = (flat.field(c).to_numpy(zero_copy_only=False) for c in "iab")
+    a, b = a.astype(np.int64).view(np.uint64), b.astype(np.int64).view(np.uint64)
+    size = np.diff(offsets)
+    id_ = batch.column("id_")
+    own, has = (np.repeat(x, size) for x in (id_.fill_null(0).to_numpy(), id_.is_valid().to_numpy(zero_copy_only=False)))
+    shard = np.mod(a.view(np.int64), len(shards))
+    gone = np.zeros(len(a), bool)
+    for k in np.unique(shard).tolist():
+        if shards[k] is not None:
+            mine = np.flatnonzero(shard == k)
+            gone[mine] = shards[k].drops(a[mine], b[mine], own[mine], has[mine])
+    ends = np.concatenate([[0], np.cumsum(gone)])[offsets - offsets[0]]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(i[gone], pa.int32()))
+
+
+def frequent_lines(keyed: DataFrame) -> DataFrame:
+    """(a, b, docs, keeper) of the keys of MIN_DOCS documents or more; rows come as (doc, keys)."""
+    once = keyed.select("doc", F.explode(F.array_distinct(F.transform("keys", lambda s: F.struct(s["a"], s["b"])))).alias("k"))
+    return once.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= MIN_DOCS)
 
 
-def dropped_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, th, drop array<int>): for each id and text hash with lines to drop, their numbers from 0."""
-    lines = docs.select(docs[id].cast("long").alias("doc"), F.xxhash64(text_of(docs[text])).alias("th"), F.split(text_of(docs[text]), "\n", -1).alias("lines"))
-    keyed = lines.select("doc", "th", line_keys(F.col("lines")).alias("keys"))
-    once = keyed.select("doc", F.explode(F.array_distinct(F.transform("keys", lambda s: F.struct(s["a"], s["b"])))).alias("k"))
-    seen = Observation()
-    once = once.observe(seen, F.count(F.lit(1)).alias("n"))
-    counted = once.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= MIN_DOCS)
-    counted = materialise(counted, "lines")
-    if not (n := counted.count()):
-        return docs.sparkSession.createDataFrame([], "doc long, th long, drop array<int>")
-    shards = -(-n // SHARD_KEYS)
-    salts = max(SALTS, -(-seen.get["n"] // (shards * SHARD_KEYS)))
-    index = build_index(counted, shards)
+def drops_by_shard(keyed: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """(doc, th, drop array<int>): lines go to the shards, and the numbers of those to drop come back."""
+    (n,) = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    salts = max(SALTS, -(-n // (shards * SHARD_KEYS)))
     spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = keyed.select("doc", "th", F.explode("keys").alias("k")).select("doc", "th", "k.i", "k.a", "k.b")
     rows = rows.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc", "th", "i"), F.lit(salts)).cast("int"))
@@ -143,13 +172,32 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
     count as documents of their own and keep the lines together if theirs is the largest id; a null
     id is below every other. A text of white space and short lines is returned as it is.
     """
-    drops = dropped_lines(docs, id=id, text=text)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id].cast("long").alias("id_"), text_of(docs[text]).alias("t_"))
-    packed = packed.withColumn("h_", F.xxhash64("t_"))
-    joined = packed.join(drops, packed["id_"].eqNullSafe(drops["doc"]) & (packed["h_"] == drops["th"]), "left")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keys = line_keys(F.split(text_of(docs[text]), "\n", -1)).alias("keys")
+    counted = materialise(frequent_lines(docs.select(docs[id].cast("long").alias("doc"), keys)), "lines")
+    shards = max(1, -(-counted.count() // SHARD_KEYS))
+    index = materialise(build_index(counted, shards), "index")
+    size = index.agg(F.coalesce(F.sum(sum((F.octet_length(c) for c in INDEX_COLUMNS[2:]), F.octet_length(INDEX_COLUMNS[1]))), F.lit(0))).first()[0]
+    if size <= HELD_BYTES:
+        rows = docs.select(row, docs[id].cast("long").alias("id_"), keys)
+        kind = rows.schema["row"].dataType.simpleString()
+        held = docs.sparkSession.sparkContext.broadcast({r["shard"]: {c: bytes(r[c]) for c in INDEX_COLUMNS[1:]} for r in index.collect()})
+
+        def run(batches):
+            mine = [Shard(held.value[k]) if k in held.value else None for k in range(shards)]
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("row"), probe_batch(b, mine)], names=["row", "drop"])
+
+        joined = rows.mapInArrow(tidied(run), f"row {kind}, drop array<int>").withColumn("t_", text_of(F.col("row")[text]))
+    else:
+        hashed = docs.select(row, docs[id].cast("long").alias("id_"), text_of(docs[text]).alias("t_")).withColumn("h_", F.xxhash64("t_"))
+        keyed = docs.select(docs[id].cast("long").alias("doc"), F.xxhash64(text_of(docs[text])).alias("th"), keys)
+        drops = drops_by_shard(keyed, index, shards)
+        joined = hashed.join(drops, hashed["id_"].eqNullSafe(drops["doc"]) & (hashed["h_"] == drops["th"]), "left")
     lines = F.split("t_", "\n", -1)
-    kept = F.when(F.col("drop").isNull(), F.col("t_")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
-    return joined.select(F.col("row").alias("doc"), F.size(lines).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"), kept.alias("kept"))
+    none = F.coalesce(F.size("drop"), F.lit(0)) <= 0
+    kept = F.when(none, F.col("t_")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    return joined.select(F.col("row").alias("doc"), F.size(lines).alias("n_lines"), F.when(none, 0).otherwise(F.size("drop")).alias("n_dropped"), kept.alias("kept"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
