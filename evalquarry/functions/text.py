@@ -21,6 +21,19 @@ NO_ANSWER = "EMPTYSTRINGWHICHSHOULDNOTMATCHWITHANYTHING"
 CORE_METRICS = ("exact_match", "quasi_exact_match", "prefix_exact_match", "quasi_prefix_exact_match", "classification_micro_f1", "classification_macro_f1", "f1_score", "rouge_l", "bleu_", "ifeval_strict_accuracy", "wildbench_score", "wildbench_score_rescaled", "omni_math_accuracy", "chain_of_thought_correctness", "math_equiv", "math_equiv_chain_of_thought", "safety_score", "safety_gpt_score", "safety_llama_score", "air_score", "air_category_")
 BOOKKEEPING_METRICS = ("num_", "training_", "inference_", "batch_size", "max_prob", "logprob", "num_perplexity_tokens", "num_bytes", "perplexity", "bits_per_byte", "logprob_per_byte", "finish_reason_", "prompt_truncated", "ece_", "platt_", "selective_", "num_instances", "num_train_", "num_references")
 TEXTUAL_LATEX = "text|mathrm|operatorname|textbf|textit"
+# LaTeX patterns and what stands for them, in the order in which they apply: marks of
+# spacing and size first, so that braces follow their commands; fractions before single braces, which
+# they are made of.
+LATEX_STEPS = (
+    (r"\\[!,;:\s]+", ""),
+    (r"\\bigl|\\bigr|\\Bigl|\\Bigr|\\big|\\Big", ""),
+    (r"\\left|\\right", ""),
+    (r"\\times|\\cdot", "*"),
+    (r"\\[dt]frac\s*\{([^}]*)\}\s*\{([^}]*)\}", r"\\frac{$1}{$2}"),
+    (r"\\frac\s*\{([^}]*)\}\s*\{([^}]*)\}", "($1)/($2)"),
+    (r"\{", "("),
+    (r"\}", ")"),
+)
 
 
 def strip(c: Column) -> Column:
@@ -131,12 +144,10 @@ def textual_latex(c: Column) -> Column:
 
 
 def latex_to_infix(c: Column) -> Column:
-    """STR12: the rewriting steps; the result is parsed by ``verify.parses``."""
-    steps = [
-        (r"\\[!,;:\s]+", ""), (r"\\bigl|\\bigr|\\Bigl|\\Bigr|\\big|\\Big", ""), (r"\\left|\\right", ""), (r"\\times|\\cdot", "*"),
-        (r"\\[dt]frac\s*\{([^}]*)\}\s*\{([^}]*)\}", r"\\frac{$1}{$2}"), (r"\\frac\s*\{([^}]*)\}\s*\{([^}]*)\}", "($1)/($2)"), (r"\{", "("), (r"\}", ")"),
-    ]
-    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
+    """STR12: LaTeX as infix arithmetic; whether it is any is for ``verify.parses`` to say."""
+    for pattern, instead in LATEX_STEPS:
+        c = F.regexp_replace(c, pattern, instead)
+    return c
 
 
 def normalise_answer(c: Column) -> Column:
@@ -217,15 +228,10 @@ def metric_family(name: Column) -> Column:
 
 
 def stable_hash(c: Column, length: int = 16) -> Column:
-    """STR23: a digest of a canonical form (keys of structs sorted by the caller)."""
+    """A digest of a text; of nested values see ``ids``."""
     return F.substring(F.sha2(c, 256), 1, length)
 
 
-def named_id(parts: list[Column], hashed: Column) -> Column:
-    """STR24: readable parts joined by commas, ``::`` and a digest."""
-    return F.concat(F.concat_ws(",", *parts), F.lit("::"), stable_hash(hashed, 12))
-
-
 def smart_truncate(c: Column, n: int) -> Column:
     """STR25: long text cut with a digest as tail; control characters replaced."""
     clean = F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f]", "?")

@@ -269,3 +269,13 @@ def built_records(spark, sf):
     r = generations.build_record(p, "solve", X.render("Problem {arg_id}", ["id"]), F.col("gens"), 4, "t.yaml", "math", "m")
     m = F.col("solve_generations_metadata")
     return r.select("id", m["num_responses"].alias("n"), F.size("solve_generations").cast("long").alias("requested"), F.col("solve_prompt").alias("prompt"), m["prompt_hash"].alias("hash"))
+
+
+@query("SELECT n_nationkey AS k, way, true AS inside FROM nation, (SELECT unnest(['pandas', 'dicts', 'frame', 'random']) AS way) t")
+def table_inputs(spark, sf):
+    """SRC29, SRC34: tables from pandas, from dictionaries, as they are, and made-up ones, whose values lie between 0 and 1."""
+    n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    given = {"pandas": n.toPandas(), "dicts": [r.asDict() for r in n.collect()], "frame": n}
+    out = [tables.ensure_long(spark, v).select("k", F.lit(w).alias("way"), F.lit(True).alias("inside")) for w, v in given.items()]
+    made = tables.random_table(spark, n.count(), 2, 1).select(F.col("id").alias("k"), F.lit("random").alias("way"), (F.col("c0").between(0, 1) & (F.col("c0") != F.col("c1"))).alias("inside"))
+    return joins.union_by_name([*out, made])

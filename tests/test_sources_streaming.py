@@ -149,3 +149,20 @@ def test_stage_reads_what_is_there(spark, tmp_path):
 
     p = str(tmp_path / "s")
     assert resume.stage(spark, p, build).count() == 3 and resume.stage(spark, p, build).count() == 3 and made == [1]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    import time
+
+    lines(tmp_path / "in" / "a.jsonl", [{"id": str(k), "answer": "1", "response": "x"} for k in range(7)])
+    seen = resume.Progress()
+    spark.streams.addListener(seen)
+    try:
+        resume.append(resume.record_stream(spark, str(tmp_path / "in"), "id string, answer string, response string"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        for _ in range(100):
+            if seen.rows:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.rows == 7 and seen.batches >= 1
