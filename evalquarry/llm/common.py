@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +102,32 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+#: Bits of a filter: at least, at most (32 MB, in every worker), and for each key.
+FILTER_LEAST, FILTER_MOST, FILTER_EACH = 1 << 22, 1 << 28, 32
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit set of FILTER_LEAST to FILTER_MOST bits, two for each 64-bit hash of a column.
+
+    It lets every key through and few others; too many keys make it let more through, never less.
+    Bits are put together by an aggregate, so the driver gets the words of the set and no keys.
+    """
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * keys.count()).bit_length()))
+    h = F.col(column)
+    at = F.explode(F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be in the filter."""
+    u = np.uint64
+    mask = u((len(filter_) << 6) - 1)
+    first, second = h & mask, (h >> u(32)) & mask
+    maybe = np.flatnonzero((filter_[first >> u(6)] >> (first & u(63))) & u(1))
+    second = second[maybe]
+    return maybe[((filter_[second >> u(6)] >> (second & u(63))) & u(1)).astype(bool)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import materialise, packed, portions, table, tidied
+from evalquarry.llm.common import bit_filter, materialise, packed, passes, portions, table, tidied
 from evalquarry.llm.hashing import Substrings, mix
 
 WINDOW = 8
@@ -33,8 +33,6 @@ COVERAGE = 0.2
 CONSISTENT = 0.8
 #: Words in a row that are a copy whatever their share of an item.
 RUN_WORDS = 50
-#: Bits of the filter of window hashes: at least, at most (32 MB, in every worker), and for each hash.
-FILTER_LEAST, FILTER_MOST, FILTER_EACH = 1 << 22, 1 << 28, 32
 #: Parts into which the items that one document may hold are dealt.
 PARTS = 4
 # Units of measure and number words.
@@ -168,7 +166,8 @@ def starts(words: np.ndarray, size: int) -> np.ndarray:
 class Item:
     """One benchmark item: its windows, and, without a window behind its first word, its words."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, often: dict[int, int] | None = None) -> None:
+        """``often``: how many items of the benchmark have a window; without it, each counts as the item's own."""
         p = self.parsed = parsed(text)
         n = len(p.tokens)
         self.size = min(WINDOW, n)
@@ -177,11 +176,13 @@ class Item:
         self.long = int(p.words.sum()) >= RUN_WORDS
         # The first word may be a name by what stands before it, so a window that starts with it does not find every copy.
         self.whole = bool(len(p.every)) and not self.hashes[1:].any()
-        self.need = 1 if self.long else max(1, int(np.ceil(COVERAGE * self.total)))
         self.at = defaultdict(list)
         for p_, h in enumerate(self.hashes.tolist()):
             if h:
                 self.at[h].append(p_)
+        # A window that many items have, as of a preamble, tells little of one of them.
+        self.weight = {h: 1.0 / (often or {}).get(h, 1) for h in self.at}
+        self.need = COVERAGE * sum(self.weight.values()) * (1 - 1e-9)
 
     def keys(self) -> list[tuple[int, int, int]]:
         """(kind, size, hash) of all that a document may share with the item: 0 for windows, 1 for first words."""
@@ -189,6 +190,11 @@ class Item:
         whole = [(1, size, int(starts(self.parsed.every[:size], size)[0]))] if self.whole else []
         return whole + [(0, self.size, h) for h in self.at]
 
+    def gain(self, pairs: list[tuple[int, int]]) -> tuple[int, float]:
+        """Different windows among matches, and their weight."""
+        hs = {int(self.hashes[p]) for _, p in pairs}
+        return len(hs), sum(self.weight[h] for h in hs)
+
 
 def shared_keys(texts: list[str], sizes: list[tuple[int, int]], filter_: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(text number, different hashes) of the texts with windows that pass the filter; the texts are parsed in one go."""
@@ -247,28 +253,27 @@ def judge(item: Item, pairs: list[tuple[int, int]], doc: Parsed) -> dict | None:
     also with what continues it before and behind; a line over windows that these have taken is a
     wrong alignment of the same words. RUN_WORDS equal words in a row always count.
     """
-    need, hashes = COVERAGE * item.total, item.hashes.tolist()
-    if not item.long and len({hashes[p] for _, p in pairs}) < need:
+    if not item.long and item.gain(pairs)[1] < item.need:
         return None
     lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for d, p in sorted(pairs):
         lines[d - p].append((d, p))
-    scored = [(len({hashes[p] for _, p in line}), *slots(item, line, doc), line) for line in lines.values()]
+    scored = [(*item.gain(line), *slots(item, line, doc), line) for line in lines.values()]
     best, taken = None, set()
-    for n, aligned, equal, share, line in sorted(scored, key=lambda x: (-x[0], -x[2], x[4][0])):
-        found = [(n, aligned, equal, share)]
+    for n, weight, aligned, equal, share, line in sorted(scored, key=lambda x: (-x[0], -x[3], x[5][0])):
+        found = [(n, weight, aligned, equal, share)]
         fresh = 2 * sum(d in taken for d, _ in line) <= len(line)
         if fresh and n < item.total:
             chain = chained(item, line, pairs)
             if len(chain) > len(line):
-                found.append((len({hashes[p] for _, p in chain}), *slots(item, chain, doc)))
-        for n, aligned, equal, share in found:
-            if n >= need and (equal == aligned or (fresh and share >= CONSISTENT)) and (best is None or (equal == aligned, n) > best[:2]):
+                found.append((*item.gain(chain), *slots(item, chain, doc)))
+        for n, weight, aligned, equal, share in found:
+            if weight >= item.need and (equal == aligned or (fresh and share >= CONSISTENT)) and (best is None or (equal == aligned, n) > best[:2]):
                 best = (equal == aligned, n, aligned, share)
         if item.long and (best is None or not best[0]):
             for a, b in equal_runs(item, line[0][0] - line[0][1], doc):
                 part = [(d, p) for d, p in line if a <= p and p + item.size <= b]
-                copy = (True, len({hashes[p] for _, p in part}), int(item.parsed.slot[a:b].sum()), 1.0)
+                copy = (True, item.gain(part)[0], int(item.parsed.slot[a:b].sum()), 1.0)
                 best = copy if best is None or copy[:2] > best[:2] else best
         if best and best[:2] == (True, item.total):
             break
@@ -325,7 +330,7 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-KEYS = "item long, kind int, size int, h long, need int, total int"
+KEYS = "item long, kind int, size int, h long, long boolean"
 FOUND = "item_id long, matched int, windows int, slots int, consistency double, kind string"
 
 
@@ -334,62 +339,53 @@ def key_table(items: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("item", "kind", "size", "h", "need", "total")}
+            out = {c: [] for c in ("item", "kind", "size", "h", "long")}
             for item, t in zip(b.column("item").to_pylist(), b.column("t").to_pylist()):
                 x = Item(t)
                 for kind, size, h in x.keys():
-                    for name, v in zip(out, (item, kind, size, int(np.uint64(h).view(np.int64)), x.need, max(1, x.total))):
+                    for name, v in zip(out, (item, kind, size, int(np.uint64(h).view(np.int64)), x.long)):
                         out[name].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return items.mapInArrow(tidied(run), KEYS)
 
 
-def rare_keys(keys: DataFrame) -> DataFrame:
-    """Of each item the keys that the fewest items have, one more than may be left out: a match of ``need`` keys has one of these.
+def counted_keys(keys: DataFrame) -> DataFrame:
+    """The window table with the number of items that have each key."""
+    return keys.join(keys.groupBy("kind", "size", "h").agg(F.count(F.lit(1)).alias("often")), ["kind", "size", "h"])
 
-    A window that many items share, as of a preamble, thus pairs no document with all of them.
-    """
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(W.partitionBy("item").orderBy("often", "h"))
-    return keys.join(shared, "h").withColumn("rank", rank).where((F.col("kind") == 1) | (F.col("rank") <= F.col("total") - F.col("need") + 1)).drop("rank", "often")
-
-
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_LEAST to FILTER_MOST bits with two bits for each key; too many keys make it let more through, never less."""
-    n = keys.count()
-    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * n).bit_length()))
-    at = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1)))
-    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(bits >> 6, _U)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(_U)
-    return out
 
+def telling_keys(keys: DataFrame) -> DataFrame:
+    """The keys without the lightest ones of each item, whose weights together don't reach COVERAGE: any match has one of the others.
 
-def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes may be in the filter."""
-    mask = _U((len(filter_) << 6) - 1)
-    first, second = h & mask, (h >> _U(32)) & mask
-    maybe = np.flatnonzero((filter_[first >> _U(6)] >> (first & _U(63))) & _U(1))
-    second = second[maybe]
-    return maybe[((filter_[second >> _U(6)] >> (second & _U(63))) & _U(1)).astype(bool)]
+    So a window that many items share, as of a preamble, pairs no document with all of them.
+    """
+    weight = F.when(F.col("kind") == 0, 1 / F.col("often")).otherwise(0.0)
+    lighter = F.sum(weight).over(W.partitionBy("item").orderBy(F.desc("often"), "h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    every = F.sum(weight).over(W.partitionBy("item"))
+    ranked = keys.select("*", lighter.alias("lighter"), every.alias("every"))
+    return ranked.where((F.col("kind") == 1) | F.col("long") | (F.col("lighter") >= COVERAGE * (1 - 1e-6) * F.col("every"))).select("item", "kind", "size", "h")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc struct of all columns or of ``keep``, item_id, matched, windows, slots, consistency, kind) per document and item.
 
-    An item counts if COVERAGE of its windows lie on one alignment with the document and one mapping of
-    slot values explains CONSISTENT of the aligned slots, or if RUN_WORDS of its words in a row are in the
-    document (one window of words among them); the best of several alignments is given, and of an item
+    An item counts if COVERAGE of its windows, each weighted by one over the number of items that have
+    it, lie on one alignment with the document and one mapping of slot values explains CONSISTENT of the
+    aligned slots, or if RUN_WORDS of its words in a row are in the document (one window of words among
+    them); the best of several alignments is given, and of an item
     that fits in several places the best one. The benchmark stays in tables; the driver and each
     worker hold a bounded filter of it. Null and empty texts and items match nothing; an item of a
     word or two matches wherever they stand; repeated items and documents each give their rows.
     """
     items = benchmark.select(benchmark[item].cast("long").alias("item_id"), benchmark[item_text].alias("t")).where("t IS NOT NULL")
     items = materialise(items.groupBy("item_id", "t").agg(F.count(F.lit(1)).alias("times")).withColumn("item", F.xxhash64("item_id", "t")), "items")
-    keys = materialise(rare_keys(key_table(items.select("item", "t"))).select("item", "kind", "size", "h"), "keys")
-    filter_ = key_filter(keys)
+    counted = materialise(counted_keys(key_table(items.select("item", "t"))), "windows")
+    keys = materialise(telling_keys(counted), "keys")
+    often = counted.where("kind = 0").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("h", "often"))).alias("often"))
+    items = materialise(items.join(often, "item", "left"), "items")
+    filter_ = bit_filter(keys, "h")
     sizes = sorted((r["kind"], r["size"]) for r in keys.select("kind", "size").distinct().collect())
     rows, texts_of = packed(docs, text, keep)
     names = rows.columns
@@ -411,11 +407,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
     # Numbers of rows hold for one attempt of a task, so they are written before they are used.
     candidates = materialise(rows.mapInArrow(tidied(probe), f"{kinds}, uid string, hits array<bigint>"), "candidates")
     pairs = candidates.select("uid", F.explode("hits").alias("h")).join(keys.select("h", "item"), "h").select("uid", "item").distinct()
-    asked = pairs.join(items, "item").groupBy("uid", F.pmod("item", F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "t", "times")).alias("asked")).drop("part")
+    asked = pairs.join(items, "item").groupBy("uid", F.pmod("item", F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item", "item_id", "t", "times", "often")).alias("asked")).drop("part")
     both = candidates.drop("hits").join(asked, "uid").drop("uid")
 
     def settle(batches):
-        known: dict[str, Item] = {}
+        known: dict[int, Item] = {}
         for b in batches:
             at, out = [], []
             for k, (t, asked) in enumerate(zip(texts_of(b), b.column("asked").to_pylist())):
@@ -423,8 +419,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
                 for x in asked:
                     if len(known) > 1000:
                         known.clear()
-                    if (own := known.get(x["t"])) is None:
-                        own = known[x["t"]] = Item(x["t"])
+                    if (own := known.get(x["item"])) is None:
+                        own = known[x["item"]] = Item(x["t"], {h & (1 << 64) - 1: n for h, n in x["often"] or ()})
                     if found := doc.match(own):
                         at += [k] * x["times"]
                         out += [found | {"item_id": x["item_id"]}] * x["times"]

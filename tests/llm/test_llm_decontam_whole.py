@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -119,7 +120,11 @@ def test_leaks_against_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("uid", F.lit("x")).withColumn("hits", F.lit(1)).repartition(3)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = sorted((x.doc.doc_id, x.item_id, x.matched, x.kind) for x in decontam.leaks(docs, bench).collect())
-    want = sorted((d, i, m["matched"], m["kind"]) for d, t in enumerate(texts) for i, own in enumerate(items) if t and own and (m := match(own, t)))
+    often = Counter(h for own in items if own for h in decontam.Item(own).at)
+    docs_, items_ = {d: decontam.Document(t) for d, t in enumerate(texts) if t}, {i: decontam.Item(own, often) for i, own in enumerate(items) if own}
+    want = sorted((d, i, m["matched"], m["kind"]) for d, t in docs_.items() for i, own in items_.items() if (m := t.match(own)))
     assert got == want and {20, 21, 22} <= {i for _, i, _, _ in got}
+    # The preamble of twenty items alone is none of them.
+    assert not {(d, i) for d, i, _, _ in got if d in (2, len(texts) - 2) and i < 20}
     slim = decontam.leaks(docs, bench, keep=["doc_id"]).collect()
     assert sorted((x.doc.doc_id, x.item_id, x.matched, x.kind) for x in slim) == want
