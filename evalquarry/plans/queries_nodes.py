@@ -63,11 +63,11 @@ def random_instance_prediction(spark, sf):
 
 
 @query("WITH " + _RUNS + ", " + _DRAWN + """, f AS (SELECT metric, split, perturbation, round(regr_slope(mean, count / 10.0), 6) AS slope, round(regr_intercept(mean, count / 10.0), 6) AS intercept FROM stats JOIN drawn ON 'run' || run = run_name AND place < 4 WHERE perturbation IS NOT NULL GROUP BY ALL)
-SELECT s.metric AS stat_name, s.split, s.perturbation AS perturbation_name, round(intercept + 0.5 * slope, 5) AS predicted_mean, mean AS actual_mean FROM stats s JOIN drawn ON 'run' || run = run_name AND place = 4 JOIN f ON f.metric = s.metric AND f.split = s.split AND f.perturbation = s.perturbation""")
+SELECT s.metric AS stat_name, s.split, s.perturbation AS perturbation_name, round(intercept + 0.5 * slope, 7) AS predicted_mean, mean AS actual_mean FROM stats s JOIN drawn ON 'run' || run = run_name AND place = 4 JOIN f ON f.metric = s.metric AND f.split = s.split AND f.perturbation = s.perturbation""")
 def perturbation_prediction(spark, sf):
     """UDF4, JOI12, JOI15, AGG52: lines over the strength of perturbations in the train runs, compared with the test run."""
     got = predictors.PerturbationRegression().evaluate(run_tables(spark, sf))
-    return got.select("stat_name", "split", "perturbation_name", F.round("predicted_mean", 5).alias("predicted_mean"), "actual_mean")
+    return got.select("stat_name", "split", "perturbation_name", F.round("predicted_mean", 7).alias("predicted_mean"), "actual_mean")
 
 
 @query("WITH " + _RUNS + " SELECT 'run' || run AS run_name, metric, perturbation, mean, 'class' AS scenario FROM stats WHERE perturbation IS NOT NULL")

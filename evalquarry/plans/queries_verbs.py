@@ -112,7 +112,7 @@ def verb_mitigation_buckets(spark, sf):
 @query("WITH " + GEN + """, a AS (SELECT id, answer, lag(answer) OVER (PARTITION BY id ORDER BY response_id) AS d FROM gen), anchored AS (SELECT DISTINCT id, d FROM a WHERE d IS NOT NULL),
 x AS (SELECT a.id, a.d, avg(levenshtein(a.answer, a.d)) AS v FROM a WHERE a.d IS NOT NULL GROUP BY a.id, a.d), i AS (SELECT n.id, n.d, avg(levenshtein(g.answer, n.d)) AS v FROM anchored n JOIN gen g ON g.id = n.id GROUP BY n.id, n.d),
 p AS (SELECT x.id, avg(x.v) AS xv, avg(i.v) AS iv FROM x JOIN i ON x.id = i.id AND x.d = i.d GROUP BY x.id)
-SELECT round(avg(xv), 5) AS anchored, round(avg(iv), 5) AS init, count(*) AS both FROM p""")
+SELECT round(avg(xv), 6) AS anchored, round(avg(iv), 6) AS init, count(*) AS both FROM p""")
 def verb_ted(spark, sf):
     """analysis ted build_cache and summarize (AGG56, AGG20)."""
     from pyspark.sql import Window as W
@@ -121,7 +121,7 @@ def verb_ted(spark, sf):
     a = g.select(F.col("id").cast("string").alias("id"), "answer", F.lag("answer").over(W.partitionBy("id").orderBy("response_id")).alias("d")).where("d IS NOT NULL").select("id", F.array("d").alias("drafts"), "answer")
     cache = verbs.analysis_ted_build_cache(spark, anchored_jsonl=lines(a), init_jsonl=lines(flat(g)), out=work_path(spark, "ted"))
     s = spark.read.schema("anchored double, init double, both long").json(verbs.analysis_ted_summarize(spark, cache=cache, out=work_path(spark, "ted")))
-    return s.select(F.round("anchored", 5).alias("anchored"), F.round("init", 5).alias("init"), "both")
+    return s
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS id, i AS response_id, 'Q ' || item_id || ' [' || (CASE WHEN item_id < 10 THEN 1 ELSE 6 END + i) || ']' AS said FROM benchmark, (SELECT unnest([0, 1]) AS i) t")
