@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalquarry.llm.common import materialise, table, text_of, tidied
+from evalquarry.llm.common import bit_filter, materialise, passes, table, text_of, tidied
 from evalquarry.llm.hashing import Substrings
 
 LENGTH = 400
@@ -233,15 +233,35 @@ def hashed_strings(batches, length: int, least: int):
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(p), long)), pa.array(back), *(pa.array(x) for x in h)], names=[*own.schema.names, "long", "x", "h", "g"])
 
 
-unzipped = zstandard.ZstdDecompressor().decompress
+_zstd = zstandard.ZstdDecompressor()
 
 
-def repeated_starts(rows: DataFrame, texts: DataFrame, *, length: int, least: int, window: int) -> DataFrame:
+def unzipped(z: bytes) -> bytes:
+    return _zstd.decompress(z)
+
+
+def zipped(rows: DataFrame, chosen: np.ndarray, inside: bool = True) -> DataFrame:
+    """(row, doc, th, size, z): texts ``t`` compressed, of the rows whose ``th`` passes the filter, or of the others."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            mine = np.zeros(batch.num_rows, bool)
+            mine[passes(chosen, batch.column("th").to_numpy().view(_U))] = True
+            batch = batch.filter(pa.array(mine == inside))
+            texts = [t.encode() for t in batch.column("t").to_pylist()]
+            z, size = pa.array([squeeze.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), batch.column("th"), size, z], names=["row", "doc", "th", "size", "z"])
+
+    return rows.mapInArrow(tidied(run), f"row {rows.schema['row'].dataType.simpleString()}, doc long, th long, size long, z binary")
+
+
+def repeated_starts(all_rows: DataFrame, *, length: int, least: int, window: int) -> DataFrame:
     """(doc, th, starts array<struct<long,s,e>>): runs of positions whose LEAST or ``length`` (long) bytes start elsewhere too.
 
-    ``rows`` has (doc, th, t), ``texts`` (doc, th, z) with the compressed bytes.
+    Rows have (row, doc, th, t).
     """
-    rows = rows.select("doc", "th", F.col("t").cast("binary").alias("b")).where(F.octet_length("t") >= least)
+    rows = all_rows.select("doc", "th", F.col("t").cast("binary").alias("b")).where(F.octet_length("t") >= least)
 
     def mark(batches):
         for batch in batches:
@@ -268,6 +288,8 @@ def repeated_starts(rows: DataFrame, texts: DataFrame, *, length: int, least: in
     contexts = contexts.join(many, "f", "left") if frequent else contexts.withColumn("many", F.lit(False))
     buckets = max(1, -(-contexts.count() // SORTED_CONTEXTS))
     by_doc = contexts.groupBy("doc", "th").agg(F.collect_list(F.struct("f", "c", "n", "a", "lo", "hi", F.coalesce("many", F.lit(False)).alias("many"))).alias("cs"))
+    # Texts without a context stay where they are.
+    texts = zipped(all_rows, bit_filter(contexts.select("th").distinct(), "th")).where(F.col("size") >= least).select("doc", "th", "z")
     bodies = by_doc.join(texts, by_doc["doc"].eqNullSafe(texts["doc"]) & (by_doc["th"] == texts["th"])).select(texts["doc"], texts["th"], "cs", "z")
     names = ["f", "c", "n", "a", "lo", "hi", "many"]
     schema = pa.schema([*zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())), ("doc", pa.int64()), ("th", pa.int64()), ("bytes", pa.binary())])
@@ -326,17 +348,13 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     spans = "array<struct<start:long,end:long>>"
     rows = docs.select(F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row"), docs[id].cast("long").alias("doc"), text_of(docs[text]).alias("t")).withColumn("th", F.xxhash64("t"))
 
-    def zipped(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = [t.encode() for t in batch.column("t").to_pylist()]
-            z, size = pa.array([squeeze.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), batch.column("th"), size, z], names=["row", "doc", "th", "size", "z"])
-
     kind = rows.schema["row"].dataType.simpleString()
-    small = rows.mapInArrow(tidied(zipped), f"row {kind}, doc long, th long, size long, z binary")
-    found = repeated_starts(rows, small.where(F.col("size") >= least).select("doc", "th", "z"), length=length, least=least, window=window)
-    joined = small.join(found, small["doc"].eqNullSafe(found["doc"]) & (small["th"] == found["th"]), "left").select("row", "z", "starts")
+    found = materialise(repeated_starts(rows, length=length, least=least, window=window), "starts")
+    # Only texts with a repeat (and the few others that the filter lets through) are moved to where their runs are.
+    chosen = bit_filter(found.select("th").distinct(), "th")
+    some, rest = zipped(rows, chosen), zipped(rows, chosen, inside=False)
+    joined = some.join(found, some["doc"].eqNullSafe(found["doc"]) & (some["th"] == found["th"]), "left").select("row", "z", "starts")
+    joined = joined.union(rest.select("row", "z", F.lit(None).cast(found.schema["starts"].dataType)))
 
     def apply(batches):
         for batch in batches:
