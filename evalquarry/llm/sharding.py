@@ -20,6 +20,8 @@ SHARDS = 24
 SEED = 20_011
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 50_000
+#: Buckets whose counts are summed together.
+BLOCK_BUCKETS = 4096
 #: Offsets of so many buckets (20 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_BUCKETS = 500_000
 
@@ -47,12 +49,16 @@ def shuffle_buckets(records: DataFrame, path: str, *, size: Column, seed: int =
 def assign_shards(shuffled: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(shard int, slot long, rec): the global order of ``shuffle_buckets`` cut into equal runs.
 
-    Only one row per bucket meets in the running sum. With fewer rows than shards the last
-    shards are empty.
+    Running sums are taken within blocks of BLOCK_BUCKETS buckets and over the blocks, so one task
+    sees a row per block only. With fewer rows than shards the last shards are empty. Nulls need no
+    rule: a record is placed by its bucket and position, whatever it holds.
     """
-    counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    w = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = counts.select("bucket", (F.sum("c").over(w) - F.col("c")).alias("offset"), F.sum("c").over(W.partitionBy()).alias("n"))
+    counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).withColumn("block", F.floor(F.col("bucket") / BLOCK_BUCKETS))
+    so_far = lambda w: F.sum("c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")
+    blocks = counts.groupBy("block").agg(F.sum("c").alias("c"))
+    blocks = blocks.select("block", so_far(W.orderBy("block")).alias("before"), F.sum("c").over(W.partitionBy()).alias("n"))
+    within = counts.select("bucket", "block", so_far(W.partitionBy("block").orderBy("bucket")).alias("inside"))
+    offsets = within.join(blocks, "block").select("bucket", (F.col("before") + F.col("inside")).alias("offset"), "n")
     at, q, r = F.expr("offset + pos"), F.expr(f"n div {shards}"), F.expr(f"n % {shards}")
     small = counts.count() <= BROADCAST_BUCKETS
     placed = shuffled.join(F.broadcast(offsets) if small else offsets, "bucket").select("rec", at.alias("at"), q.alias("q"), r.alias("r"))

@@ -105,9 +105,11 @@ def write_archives(pages: DataFrame, folder: str, *, id: str = "page_id", url: s
     """
     rows = pages.select(pages[id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), text_of(pages[html]).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
-    groups = rows.where((F.col("bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest")
-    first = groups.agg(F.max("page_id").alias("target"), F.max_by("url", "page_id").alias("target_url"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    marked = rows.join(first, "digest", "left")
+    able = (F.col("bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
+    first = rows.where(able).groupBy("digest").agg(F.max("page_id").alias("target"), F.max_by("url", "page_id").alias("target_url"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # Short and nameless pages revisit nothing, so no join moves them, however many are equal.
+    alone = rows.where(~able).withColumns({"target": F.lit(None).cast("long"), "target_url": F.lit(None).cast("string")})
+    marked = rows.where(able).join(first, "digest", "left").unionByName(alone)
 
     def write(batches):
         store, inner = open_store(folder)
