@@ -38,27 +38,38 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal and near-duplicate texts stays: that with the least doc_id."""
+    """One document of each class of equal and near-duplicate texts stays: that with the least doc_id.
+
+    Null texts are nobody's copy and all stay; empty texts are copies of each other, as are rows that
+    repeat an id and a text. A null id counts as larger than any other.
+    """
     _, roots = near_duplicates(docs)
-    node = docs.withColumn("node", F.unhex(F.md5("text")))
-    rooted = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = materialise(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("node").alias("at"))).alias("first")), "first")
-    held = rooted.join(first, "root", "left").where("root IS NULL OR (doc_id <=> first.doc_id AND node = first.at)")
-    kept = held.where("root IS NULL").select(docs.columns)
-    # Rows that repeat the id and the text that stay are still copies of each other.
-    return kept.union(held.where("root IS NOT NULL").dropDuplicates(["root"]).select(docs.columns))
+    # Who stays is settled by ids and digests; the texts are read once, for the last join.
+    thin = docs.select("doc_id", F.unhex(F.md5("text")).alias("node")).where("node IS NOT NULL")
+    rooted = thin.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("node").alias("at"))).alias("first")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id_")
+    first = materialise(rooted.groupBy("root").agg(least).select(F.col("first.at").alias("node_"), name("first.doc_id")), "first")
+    whole = docs.select("*", F.unhex(F.md5("text")).alias("node_"), name("doc_id"))
+    held = whole.where("node_ IS NOT NULL").join(first, ["node_", "id_"], "left_semi")
+    # Rows that repeat the id and the text that stay are still copies of each other; they lie together after the join.
+    kept = held.dropDuplicates(["node_", "id_"])
+    return whole.where("node_ IS NULL").select(docs.columns).union(kept.select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, copied or re-parameterised, go."""
-    packed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), "text")
+    """Documents that hold a benchmark item, copied or re-parameterised, go.
+
+    Null and empty texts hold none and stay; rows that repeat an id and a text go together.
+    """
+    packed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = leaks(packed, table(spark, sf_dir, "benchmark"), keep=["doc_id", "th"])
     gone = found.select(F.col("doc.doc_id").alias("g"), F.col("doc.th").alias("h")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g"]) & (F.xxhash64(docs["text"]) == gone["h"]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text and the text that they decode to."""
+    """Piece ids of every text and the digest of the text that they decode to; null and empty texts have no ids."""
     done = encode_documents(docs)
     return done.select("doc.*", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
