@@ -41,6 +41,7 @@ class PieceModel:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id_of = {self.pieces[i]: i for i in plain}
         self.rank = {self.pieces[i]: -sp.get_score(i) for i in plain}
+        self.said = {p: str(i) for p, i in self.id_of.items()}
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = sp.unk_id()
@@ -102,9 +103,8 @@ class PieceModel:
                 heapq.heappush(agenda, (r, h, i, q))
         return [s for s in sym if s is not None]
 
-    def merge(self, chunk: str) -> list[int]:
-        """Ids of one chunk of normalised text, by the agenda."""
-        sym = self.agenda_short(chunk) if len(chunk) <= SHORT else self.agenda_long(chunk)
+    def ids(self, sym: list[str]) -> list[int]:
+        """Ids of symbols: of those outside the vocabulary the bytes, or the unknown piece."""
         out: list[int] = []
         for s in sym:
             if (k := self.id_of.get(s)) is not None:
@@ -131,7 +131,7 @@ class PieceModel:
             self.cache, self.older = {}, self.cache
         if len(self.odd) > CACHE_CHUNKS // 8:
             self.forget()
-        cache, older, fresh, out = self.cache, self.older, {}, []
+        cache, older, said, fresh, out = self.cache, self.older, self.said, {}, []
         for text in texts:
             chunks = self.chunks(self.normalise(text))
             got = list(map(cache.get, chunks))
@@ -142,10 +142,15 @@ class PieceModel:
                         if (v := older.get(c)) is not None:
                             cache[c] = v
                         elif (v := fresh.get(c)) is None:
-                            ids = self.merge(c)
-                            v = fresh[c] = ",".join(map(str, ids))
-                            if (back := self.decode(ids, first=False)) != c.replace(SPACE, " "):
-                                self.odd[c] = back
+                            sym = self.agenda_short(c) if len(c) <= SHORT else self.agenda_long(c)
+                            try:  # pieces alone: they decode to the chunk that they make up
+                                v = ",".join([said[s] for s in sym])
+                            except KeyError:
+                                ids = self.ids(sym)
+                                v = ",".join(map(str, ids))
+                                if (back := self.decode(ids, first=False)) != c.replace(SPACE, " "):
+                                    self.odd[c] = back
+                            fresh[c] = v
                         got[k] = v
             joined = ",".join(got)
             back = "".join([self.odd.get(c, c) for c in chunks] if self.odd else chunks)
