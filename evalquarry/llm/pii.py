@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from bisect import bisect_right
 
@@ -28,11 +29,12 @@ from evalquarry.sources.records import hadoop_list
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-WINDOW, MARGIN = 384, 32
+WINDOW, MARGIN = 1024, 32
 HIDDEN = 12
-GROUP = 1536
+GROUP, PORTION, STEP = 1024, 1 << 22, 16
 EXAMPLES, LENGTH, EPOCHS, BATCH, RATE, SEED = 4000, 112, 7, 64, 0.02, 10
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
+_numeric = re.compile(r"[0-9][0-9\x20.-]{6,}").finditer  # every address and card lies in one of these
 _chain = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
@@ -58,8 +60,8 @@ def emails(text: str):
         at = text.find("@", free)
 
 
-def addresses(text: str):
-    for m in _chain(text):
+def addresses(text: str, *within: int):
+    for m in _chain(text, *within):
         parts, at = m[0].split("."), m.start()
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
@@ -72,8 +74,9 @@ def addresses(text: str):
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of all base matches, by kind and start."""
     out = [(0, *s) for s in emails(text)] if "@" in text else []
-    out += [(1, *s) for s in addresses(text)]
-    for m in _card(text):
+    runs = [m.span() for m in _numeric(text)]
+    out += [(1, *s) for r in runs if text.count(".", *r) >= 3 for s in addresses(text, *r)]
+    for m in (m for r in runs if r[1] - r[0] >= 13 for m in _card(text, *r)):
         d = _digits("", m[0])
         if 13 <= len(d) <= 19 and luhn(d):
             out.append((2, *m.span()))
@@ -115,6 +118,26 @@ def codes(text: str) -> np.ndarray:
     return _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
 
 
+class Room:
+    """Arrays by name that are used again, as fresh memory for every step and group costs more than sums."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, dtype: type, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, dtype)
+        return self.held[name][:size].reshape(shape)
+
+
+def resized(a: np.ndarray, m: int) -> np.ndarray:
+    """The first m columns of a matrix, with zeros for those it lacks."""
+    out, k = np.zeros((len(a), m), a.dtype), min(m, a.shape[1])
+    out[:, :k] = a[:, :k]
+    return out
+
+
 class Tagger:
     """Two LSTM directions over class embeddings, an emission layer and CRF transitions; tag 0 is outside."""
 
@@ -164,64 +187,98 @@ class Tagger:
                 saved.append((t, z, before, last, squashed))
         return out, saved
 
-    def states(self, x: np.ndarray, which: int) -> np.ndarray:
-        """``direction`` for inference: (T, hidden, n), so that every gate is one block of memory."""
+    def emissions(self, x: np.ndarray, live: np.ndarray | None = None, room: Room | None = None) -> np.ndarray:
+        """(T, TAGS, n), by the recurrence of ``direction`` laid out so that every gate is one block of memory.
+
+        At step t the first ``live[t]`` windows (all, if None) have characters; what follows them is not
+        set. States are not kept: each is turned into emissions at once.
+        """
         steps, n = x.shape
-        h = self.h
+        h, room = self.h, room or Room()
+        many = [n] * steps if live is None else live.tolist()
         half = np.full((4 * h, 1), 0.5, np.float32)
         half[3 * h :] = 1
-        gates, u = np.ascontiguousarray((self.w[which] + self.bias[which]).T) * half, np.ascontiguousarray(self.u[which].T) * half
-        out = np.empty((steps, h, n), np.float32)
-        cell, state = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
-        z, more, one = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
-        sigmoids, keep, new, show, value = z[: 3 * h], z[h : 2 * h], z[:h], z[2 * h : 3 * h], z[3 * h :]
-        for t in range(steps) if which == 0 else range(steps - 1, -1, -1):
-            np.take(gates, x[t], axis=1, out=z, mode="clip")
-            np.matmul(u, state, out=more)
-            z += more
-            np.tanh(z, out=z)
-            sigmoids += 1
-            sigmoids *= 0.5
-            cell *= keep
-            np.multiply(new, value, out=one)
-            cell += one
-            np.tanh(cell, out=one)
-            state = out[t]
-            np.multiply(show, one, out=state)
-        return out
-
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(T, TAGS, n)."""
-        e = np.ascontiguousarray(self.e.T)
-        return e[:, : self.h] @ self.states(x, 0) + e[:, self.h :] @ self.states(x, 1) + self.eb[:, None]
-
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags (T, n) of codes (T, n), and their emissions."""
-        em, tr = self.emissions(x), self.masked_trans()
+        em = room("em", np.float32, steps, TAGS, n)
+        for which in range(2):
+            gates = np.ascontiguousarray((self.w[which] + self.bias[which]).T) * half
+            # States are held doubled, which saves halving every gate: weights that meet them are halved.
+            u = np.concatenate([self.u[which].T * half, self.e[which * h : (which + 1) * h].T]) * np.float32(0.5)
+            cell, state, m, last = np.zeros((h, 0), np.float32), np.zeros((h, 0), np.float32), 0, -1
+            for t in [*(range(steps) if which == 0 else range(steps - 1, -1, -1)), -1]:
+                if t < 0 or many[t] != m:
+                    if last >= 0:
+                        self._emit(em[last, :, :m], u[4 * h :] @ state, which)
+                    if t < 0:
+                        break
+                    m, last = many[t], -1
+                    cell, state = resized(cell, m), resized(state, m)
+                    z, both, one = (room(k, np.float32, rows, m) for k, rows in (("z", 4 * h), ("both", 4 * h + TAGS), ("one", h)))
+                    sigmoids, keep, new, show, value = z[: 3 * h], z[h : 2 * h], z[:h], z[2 * h : 3 * h], z[3 * h :]
+                    more, shown = both[: 4 * h], both[4 * h :]
+                # One product gives what the last state adds to the gates and what it emits.
+                np.matmul(u, state, out=both)
+                if last >= 0:
+                    self._emit(em[last, :, :m], shown, which)
+                gates.take(x[t, :m], axis=1, out=z, mode="clip")
+                z += more
+                np.tanh(z, out=z)
+                sigmoids += 1
+                cell *= keep
+                new *= value
+                cell += new
+                cell *= 0.5
+                np.tanh(cell, out=one)
+                np.multiply(show, one, out=state)
+                last = t
+        return em
+
+    def _emit(self, at: np.ndarray, values: np.ndarray, which: int) -> None:
+        np.add(values, self.eb[:, None] if which == 0 else at, out=at)
+
+    def decode(self, x: np.ndarray, live: np.ndarray | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi tags (T, n) of codes (T, n), and their emissions; ``live`` as in ``emissions``, tags are 0 beyond.
+
+        What is returned lies in ``room`` and lasts until its next use.
+        """
+        room = room or Room()
+        em, tr = self.emissions(x, live, room), self.masked_trans()
         steps, _, n = em.shape
+        many = [n] * steps if live is None else live.tolist()
         leave, stays, enter = tr[:, 0][:, None], np.diag(tr)[1:, None], tr[0, 1:][:, None]
-        scores = np.empty_like(em)
-        stay = np.empty((steps, TAGS - 1, n), bool)
-        left = np.empty((steps, n), bool)  # whether a span ends before this step, if this step is outside
+        scores = room("scores", np.float32, steps, TAGS, n)
+        stay = room("stay", bool, steps, TAGS - 1, n)
+        left = room("left", bool, steps, n)  # whether a span ends before this step, if this step is outside
         scores[0] = em[0]
+        m = 0
         for t in range(1, steps):
-            s, now = scores[t - 1], scores[t]
-            out = s + leave
-            ended = out[1:].max(axis=0)
-            np.greater(ended, out[0], out=left[t])
+            if many[t] != m:
+                m = many[t]
+                out, ended, on, new = (room(k, np.float32, rows, m) for k, rows in (("out", TAGS), ("ended", 1), ("on", TAGS - 1), ("new", TAGS - 1)))
+                ended = ended[0]
+            s, now = scores[t - 1, :, :m], scores[t, :, :m]
+            np.add(s, leave, out=out)
+            np.maximum.reduce(out[1:], axis=0, out=ended)
+            np.greater(ended, out[0], out=left[t, :m])
             np.maximum(ended, out[0], out=now[0])
-            on, new = s[1:] + stays, s[0] + enter
-            np.greater_equal(on, new, out=stay[t])
+            np.add(s[1:], stays, out=on)
+            np.add(s[0], enter, out=new)
+            np.greater_equal(on, new, out=stay[t, :, :m])
             np.maximum(on, new, out=now[1:])
-            now += em[t]
-        tag = np.zeros((steps, n), np.int8)
-        tag[-1] = scores[-1].argmax(0)
-        for t in range(steps - 1, 0, -1):
-            now = tag[t]
-            if (inside := np.flatnonzero(now)).size:
+            now += em[t, :, :m]
+        tag = room("tag", np.int8, steps, n)
+        tag[...] = 0
+        m = 0
+        for t in range(steps - 1, -1, -1):
+            if many[t] > m:  # windows whose last character this is
+                tag[t, m : many[t]] = scores[t, :, m : many[t]].argmax(0)
+                m = many[t]
+            if not t:
+                break
+            now = tag[t, :m]
+            if (inside := now.nonzero()[0]).size:
                 k = now[inside]
                 tag[t - 1, inside] = np.where(stay[t][k - 1, inside], k, 0)
-            if (end := np.flatnonzero(left[t] & (now == 0))).size:
+            if (end := (left[t, :m] > now.view(bool)).nonzero()[0]).size:
                 tag[t - 1, end] = (scores[t - 1][1:, end] + leave[1:]).argmax(0) + 1
         return tag, em
 
@@ -410,13 +467,13 @@ def default_tagger(spark: SparkSession) -> Tagger:
 
 def window_spans(tags: np.ndarray, em: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(window, kind number, start, end, score) of the runs of tags (T, n) in all windows."""
-    t = np.ascontiguousarray(tags.T)
-    flat = np.pad(t, ((0, 0), (1, 1)))
-    first = np.argwhere((flat[:, 1:-1] != 0) & (flat[:, 1:-1] != flat[:, :-2]))
-    last = np.argwhere((flat[:, 1:-1] != 0) & (flat[:, 1:-1] != flat[:, 2:]))
+    edge = np.ones((len(tags) + 1, tags.shape[1]), bool)
+    np.not_equal(tags[1:], tags[:-1], out=edge[1:-1])
+    w, at = (np.concatenate([x, y]) for x, y in zip(((edge[:-1] & (tags != 0)).nonzero()[::-1]), ((edge[1:] & (tags != 0)).nonzero()[::-1])))
+    order = np.lexsort((at, w))  # first and last step of each run in turn, of one step twice the same
     out = []
-    for (w, a), (_, b) in zip(first.tolist(), last.tolist()):
-        k = int(t[w, a])
+    for w, a, b in zip(w[order][::2].tolist(), at[order][::2].tolist(), at[order][1::2].tolist()):
+        k = int(tags[a, w])
         out.append((w, k - 1, a, b + 1, float((em[a : b + 1, k, w] - em[a : b + 1, 0, w]).sum())))
     return out
 
@@ -451,24 +508,30 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 def tag_texts(net: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The tagger's spans in each text, from overlapping windows."""
+    """The tagger's spans in each text, from overlapping windows.
+
+    A text has a margin of padding before and after it. Its last window ends there, filled up to a
+    multiple of STEP, so what a text gets depends on itself alone; windows of like sizes are read together.
+    """
     core = WINDOW - 2 * MARGIN
     coded = [codes(t) for t in texts]
-    counts = [-(-len(c) // core) for c in coded]
+    sizes = np.array([len(c) for c in coded], np.int64)
+    counts = -(-sizes // core)
     owner = np.repeat(np.arange(len(texts)), counts)
-    shift = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * core - MARGIN
-    x = np.zeros((len(owner), WINDOW), np.uint8)
-    at = 0
-    for c, n in zip(coded, counts):
-        padded = np.zeros(n * core + 2 * MARGIN, np.uint8)
-        padded[MARGIN : MARGIN + len(c)] = c
-        for k in range(n):
-            x[at + k] = padded[k * core : k * core + WINDOW]
-        at += n
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * core - MARGIN
+    size = np.minimum(-(-(sizes[owner] + MARGIN - start) // STEP) * STEP, WINDOW)
+    order = np.argsort(-size, kind="stable")
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    for g in range(0, len(owner), GROUP):
-        for w, k, a, b, v in window_spans(*net.decode(np.ascontiguousarray(x[g : g + GROUP].T))):
-            d, s = int(owner[g + w]), int(shift[g + w])
+    room = Room()
+    for mine in np.array_split(order, -(-len(order) // GROUP)) if len(order) else []:
+        steps = int(size[mine[0]])
+        x = np.zeros((len(mine), steps), np.uint8)
+        for row, d, s in zip(x, owner[mine].tolist(), start[mine].tolist()):
+            piece = coded[d][max(s, 0) : s + WINDOW]
+            row[max(-s, 0) : max(-s, 0) + len(piece)] = piece
+        live = np.searchsorted(-size[mine], -np.arange(steps), "left")
+        for w, k, a, b, v in window_spans(*net.decode(np.ascontiguousarray(x.T), live, room)):
+            d, s = int(owner[mine[w]]), int(start[mine[w]])
             a, b = max(0, a + s), min(len(texts[d]), b + s)
             if a < b:
                 found[d].append((k, a, b, v))
@@ -517,7 +580,7 @@ def detect(docs: DataFrame, *, text: str = "text", tagger: Tagger | None = None,
         for b in batches:
             texts = [t or "" for t in texts_of(b)]
             base, every, secrets = [], [], []
-            for lo, hi in portions(texts, GROUP * WINDOW):
+            for lo, hi in portions(texts, PORTION):
                 for t, tagged in zip(texts[lo:hi], tag_texts(net, texts[lo:hi])):
                     x, y, z = find_spans(t, tagged)
                     base.append(joined(x))

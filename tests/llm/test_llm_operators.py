@@ -571,6 +571,38 @@ def test_spans_across_windows(spark, monkeypatch):
     assert pii.tag_texts(net, ["", prose(3)])[0] == []
 
 
+def test_windows_hold_little_but_text(monkeypatch):
+    net, r, read = pii.Tagger(seed=3), random.Random(6), []
+    net.e *= 40  # tags of all kinds
+    texts = ["", *(prose(3000)[: r.randrange(1, 9000)] for _ in range(60)), *(prose(3000)[:n] for n in (1, 15, 16, 17, pii.WINDOW, pii.WINDOW + 1, 2 * pii.WINDOW))]
+    decode = pii.Tagger.decode
+
+    def counted(self, x, *more):
+        read.append(int(more[0].sum()) if more else x.size)
+        return decode(self, x, *more)
+
+    monkeypatch.setattr(pii.Tagger, "decode", counted)
+    together = pii.tag_texts(net, texts)
+    assert sum(map(len, texts)) <= sum(read) < 1.15 * sum(map(len, texts))
+    # A text's spans don't depend on the texts that it is read with.
+    assert together == [pii.tag_texts(net, [t])[0] for t in texts] and sum(map(len, together)) > 100
+    monkeypatch.setattr(pii, "GROUP", 7)
+    assert pii.tag_texts(net, texts) == together
+
+
+def test_states_of_windows_that_end_early():
+    net, r = pii.Tagger(hidden=3, seed=4), np.random.default_rng(4)
+    size = np.array([9, 9, 6, 5, 5, 1])
+    x = r.integers(1, pii.CLASSES, (9, 6)).astype(np.uint8)
+    live = (size > np.arange(9)[:, None]).sum(1)
+    tags, em = net.decode(x, live)
+    for j, n in enumerate(size):
+        mine = x[:n, j : j + 1]
+        states = np.concatenate([net.direction(mine, k)[0] for k in range(2)], 2)
+        assert np.allclose(em[:n, :, j], (states @ net.e + net.eb)[:, 0], atol=1e-5)
+        assert np.array_equal(tags[:n, j], net.decode(mine)[0][:, 0]) and not tags[n:, j].any()
+
+
 def test_reconciled_against_all_choices():
     r = random.Random(4)
     for _ in range(300):
